@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package: once per context it is sent as a zip by Spark's own file server."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siftwire_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    t = tempfile.mkdtemp(prefix="siftwire-code-")  # on the driver alone, which serves it until it ends
+    atexit.register(shutil.rmtree, t, ignore_errors=True)
+    shutil.copytree(here, os.path.join(t, "tree", "siftwire"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(t, "siftwire"), "zip", os.path.join(t, "tree")))
+    sc._siftwire_shipped = True

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from ..context import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder``; zone-less timestamps are taken as UTC once, here."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     zoneless = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     if zoneless:
