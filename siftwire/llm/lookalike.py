@@ -28,16 +28,18 @@ DOUBLES = (
 ).split()
 _SCRIPTS = 3
 #: Ignorable characters: no width, no ink.
-_GONE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
+_GONE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0"
 _GONE_RE = re.compile(f"[{_GONE}]")
 #: Every blank that takes room, except line breaks.
-_BLANK_RE = re.compile("[\t\u000b\u000c   -   　]")
-_BREAK_RE = re.compile("\r\n?|[\u0085  ]")
+_BLANK_RE = re.compile("[\t\u000b\u000c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
+_BREAK_RE = re.compile("\r\n?|[\u0085\u2028\u2029]")
 #: Characters whose compatibility form looks the same: full and half width, Arabic presentation forms, Latin ligatures,
 #: the dot leader and the letters of mathematical fonts are left to the table of Unicode; raised and lowered ones are not.
-_FORM_RE = re.compile("[ĲĳǄ-ǌǱ-ǳﬀ-ﬆﭐ-﷿ﹰ-ﻼ！-ￜ￠-￮․-… - ٵ-ٸ]+")
+_FORM_RE = re.compile("[\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\ufb00-\ufb06\ufb50-\ufdff\ufe70-\ufefc\uff01-\uffdc\uffe0-\uffee\u2024-\u2026\u2000-\u200a\u0675-\u0678]+")
+#: Persian yeh and kaf, which are drawn as the Arabic ones wherever they join the next letter.
+_JOINED_RE = re.compile("[\\u06cc\\u06a9](?=[\\u0621-\\u064a\\u066e-\\u06d3])")
 #: Texts of these characters alone are their own form.
-_PLAIN_RE = re.compile("[\n -~¡-¬®-¶¹-ʯ،؛؟ء-غف-يٓ-٩پچژکگی۰-۹–—‘’“”„€·«»´¨¸]*")
+_PLAIN_RE = re.compile("[\\n -~\\u00a1-\\u00ac\\u00ae-\\u00b6\\u00b8-\\u017f\\u060c\\u061b\\u061f\\u0621-\\u063a\\u0641-\\u064a\\u0660-\\u0669\\u067e\\u0686\\u0698\\u06af\\u06f0-\\u06f9\\u2013\\u2014\\u2018\\u2019\\u201c-\\u201e\\u20ac]*")
 _ALT: dict[str, tuple[str, str, str]] = {}
 for _d in DOUBLES:
     for _c in _d:
@@ -45,7 +47,7 @@ for _d in DOUBLES:
             _ALT.setdefault(_c, tuple(_d))
 _FOREIGN = "".join(sorted({c for d in DOUBLES for c in d[1:] if c != "_"}))
 _FOREIGN_RE = re.compile(f"[{re.escape(_FOREIGN)}]")
-_TOKEN_RE = re.compile("[A-Za-zÀ-ɏͰ-ϿЀ-ԯᏞᴜꞘɡɩ]+(?:̀-ͯ)*")
+_TOKEN_RE = re.compile("[A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f\u13de\u1d1c\ua798\u0261\u0269]+(?:\u0300-\u036f)*")
 #: The model's alphabet: Latin to Cyrillic.
 ALPHABET = 0x530
 #: Bits that a change of script within a word costs, and that a word costs which is not in the script of its text.
@@ -53,11 +55,12 @@ SWITCH, ALIEN = 24.0, 6.0
 
 
 def fold(text: str) -> str:
-    """The text without what no reader can see: composed, one kind of blank, no ignorable characters, no presentation forms."""
+    """The text without what no reader can see: composed, one kind of blank, no ignorable characters, no presentation forms,
+    Arabic yeh and kaf for the Persian ones within words."""
     t = _GONE_RE.sub("", text)
     t = _FORM_RE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), t)
-    t = _BLANK_RE.sub(" ", _BREAK_RE.sub("\n", t))
-    return unicodedata.normalize("NFC", t)
+    t = unicodedata.normalize("NFC", _BLANK_RE.sub(" ", _BREAK_RE.sub("\n", t)))
+    return _JOINED_RE.sub(lambda m: "\u064a" if m[0] == "\u06cc" else "\u0643", t)
 
 
 def _script(c: str) -> int:

@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import tokens
+from . import boilerplate, encoding, lookalike, tokens
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_pairs(table(spark, d, "articles"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_fields(table(spark, d, "articles")).select("article_id", "field")
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_fields(table(spark, d, "articles"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture_lines(table(spark, d, "articles"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +39,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_containers, p10_pieces)}
+    return {f.__name__: f for f in (p3_found, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
