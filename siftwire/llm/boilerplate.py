@@ -75,8 +75,8 @@ def _container(lines: list[str]) -> tuple[list[int], int]:
     return blocks, max(prose, key=lambda b: (prose[b], -b))
 
 
-def read_lines(content: str) -> list[tuple[int, int, int]]:
-    """(line_no, key, flags) of every line of a content that has text."""
+def text_lines(content: str) -> list[tuple[int, str, int]]:
+    """(line_no, text, flags) of every line of a content that has text; garbled and look-alike characters are put right first."""
     if _SUSPECT_RE.search(content):
         content = repair(content)[0]
     if _ODD.search(content):
@@ -93,7 +93,7 @@ def read_lines(content: str) -> list[tuple[int, int, int]]:
             bare = _SCRIPT.sub(" ", raw)
             text = unescape(_TAG.sub(" ", bare)).strip()
             if not text and bare != raw and re.sub(r"</?(?:script|style)[^<>]*>", "", raw).strip():
-                out.append((i + 1, 0, flags | SCRIPT))
+                out.append((i + 1, "", flags | SCRIPT))
                 continue
             if blocks[i] == story:
                 flags |= INSIDE
@@ -112,7 +112,7 @@ def read_lines(content: str) -> list[tuple[int, int, int]]:
             flags |= TERMINAL
         if len(text) <= 60 and len(text.split()) <= 6:
             flags |= SHORT
-        out.append((i + 1, line_key(text), flags))
+        out.append((i + 1, text, flags))
     if len(out) == 1 and not out[0][2] & SCRIPT:
         return [(out[0][0], out[0][1], out[0][2] | ALONE)]
     for j in range(1, len(out) - 1):
@@ -121,6 +121,11 @@ def read_lines(content: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def read_lines(content: str) -> list[tuple[int, int, int]]:
+    """(line_no, key, flags) of every line of a content that has text."""
+    return [(i, line_key(t) if t else 0, f) for i, t, f in text_lines(content)]
+
+
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Positions of a longest common subsequence in both lists."""
     both = set(a) & set(b)

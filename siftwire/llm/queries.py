@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import boilerplate, encoding, lookalike, tokens
+from . import boilerplate, encoding, language, lookalike, tokens
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(table(spark, d, "articles"))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "articles"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +47,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p3_found, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
