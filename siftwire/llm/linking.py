@@ -33,11 +33,11 @@ GENERIC = set("the al el co company grp group egypt llc sae inc ltd plc corp jsc
 ADDRESS = set("dr eng mr mrs ms miss prof sir د م ا أ دكتور الدكتور مهندس المهندس استاذ الاستاذ السيد السيده دكتوره الدكتوره".split())
 #: Short and pet forms of given names, by name.
 NICKNAMES = {
-    "ahmed": "hamada ahmad", "alexander": "alex sandy sasha", "elizabeth": "liz beth lizzie betty eliza", "fatma": "fatema fatemah fatima fatimah batta tota",
-    "heba": "hiba hoba", "hossam": "husam hosam", "ibrahim": "hima ebrahim", "katherine": "kate kathy katie catherine kat", "khaled": "khalid loodi",
-    "mahmoud": "mahmood hoda", "mariam": "maryam mero miriam", "michael": "mike mikey mick", "mohamed": "muhammad mohammed mohammad moody hamo", "mostafa": "moustafa mustafa sasa darsh",
-    "nourhan": "nour nora nony", "robert": "rob bob bobby robbie", "salma": "soly sally", "sherif": "shereef shero sharif", "tarek": "tariq tarik tito", "william": "will bill billy liam",
-    "yasmine": "yasmin jasmine yassy", "youssef": "joe yousef yusuf yosef joseph",
+    "ahmed": "hamada ahmad meedo mido", "alexander": "alex sandy sasha", "elizabeth": "liz beth lizzie betty eliza", "fatma": "fatema fatemah fatima fatimah batta tota",
+    "heba": "hiba hoba bibo", "hossam": "husam hosam hos", "ibrahim": "hima heema ebrahim", "katherine": "kate kathy katie catherine kat", "khaled": "khalid loodi lolo",
+    "mahmoud": "mahmood hoda hooda", "mariam": "maryam mero miriam mimi", "michael": "mike mikey mick", "mohamed": "muhammad mohammed mohammad moody hamo hamada mido meedo", "mostafa": "moustafa mustafa sasa darsh",
+    "nourhan": "nour nora nony nona", "robert": "rob bob bobby robbie", "salma": "soly sally", "sherif": "shereef shero sharif shico", "tarek": "tariq tarik tito roka", "william": "will bill billy liam",
+    "yasmine": "yasmin jasmine yassy", "youssef": "joe jo yousef yusuf yosef joseph",
 }
 
 
@@ -82,13 +82,13 @@ def alike(a: str, b: str) -> float:
 
 @lru_cache(100_000)
 def tokens(name: str) -> tuple[str, ...]:
-    """Words of a name: folded, without accents, dots within abbreviations and hyphens."""
+    """Words of a name: folded, without accents and hyphens; dotted letters are one word from three on, else initials."""
     t = fold(name)
     if re.search("[a-z][A-Z]", t) and " " not in t.strip():
         t = re.sub("(?<=[a-z])(?=[A-Z])", " ", t)
     t = "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c) and c != "ـ")
     t = t.translate(str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ی": "ي", "ک": "ك", "ؤ": "و", "ئ": "ي", "'": "", "’": "", "`": ""}))
-    t = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m[1].replace(".", "") + " ", t)
+    t = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m[1].replace(".", " " if len(m[1]) == 4 else "") + " ", t)
     return tuple(re.findall(r"\w+", t))
 
 

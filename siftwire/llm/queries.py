@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import boilerplate, encoding, language, lookalike, tokens
+from . import boilerplate, encoding, language, linking, lookalike, survivor, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "articles"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return linking.variant_names(table(spark, d, "article_classifications"), table(spark, d, "competitors"), table(spark, d, "watch_people"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(table(spark, d, "news_events"), table(spark, d, "event_groups"), table(spark, d, "articles"), table(spark, d, "competitors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "articles"))
 
@@ -47,7 +55,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p3_found, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p3_found, p4_found, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
