@@ -140,7 +140,8 @@ def fit(articles: DataFrame, key: str = "id", label: str = "language", content:
     """Frozen trees of LANGUAGES, from at most ``sample`` labelled articles of each."""
     named = articles.filter(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).alias("key"), label_language(F.col(label)).alias("said")).filter("said is not null").distinct()
     first = named.withColumn("at", F.row_number().over(Window.partitionBy("said").orderBy(F.xxhash64("key"), "key"))).filter(F.col("at") <= sample).select("key", "said")
-    got = articles.select(F.col(key).alias("key"), F.col(content).alias("content")).join(first, "key").select("key", "said", "content").collect()
+    # At most ``sample`` ids a language: small enough to broadcast, whatever the table's size.
+    got = articles.select(F.col(key).alias("key"), F.col(content).alias("content")).join(F.broadcast(first), "key").select("key", "said", "content").collect()
     told: dict[tuple[str, str], list[str]] = {}
     for r in sorted(got, key=lambda r: (r.said, r.key)):
         told[r.said, r.key] = [t for _, t, f in text_lines(r.content) if f & TERMINAL and not f & (CLASSED | LINKED | SCRIPT)]
