@@ -152,7 +152,7 @@ def fit(articles: DataFrame, key: str = "id", label: str = "language", content:
         bits, n = scorer.lines(ts)
         if n.sum() and scorer.names[bits.sum(axis=0).argmin()] == said:
             own = bits[:, scorer.names.index(said)]
-            right |= {(said, t): None for t, b, best, m in zip(ts, own, bits.min(axis=1), n) if b - best < MARGIN * m}
+            right |= {(said, t): None for t, b, best, m in zip(ts, own, bits.min(axis=1), n) if b - best < MARGIN / 2 * m}
     return _grow(right) if {s for s, _ in right} == {s for s, _ in told} else trees
 
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Letters drawn alike, as strings of (Latin, Cyrillic, Greek); a blank where a script has none.
 DOUBLES = (
-    "AАΑ BВΒ CС_ EЕΕ FꞘϜ HНΗ IІΙ JЈ_ KКΚ MМΜ N_Ν OОΟ PРΡ SЅ_ TТΤ XХΧ YУΥ Z_Ζ GԌ_ QԚ_ WԜ_ VѴ_ LᏞ_ "
-    "aаα cсϲ eе_ iіι jјϳ oоο pрρ sѕ_ xхχ yуγ vѵν dԁ_ hһ_ qԛ_ wԝ_ kк_ lӏ_ ıɩ_ uᴜυ gɡ_ bЬ_ nп_ rг_ "
+    "A\u0410\u0391 B\u0412\u0392 C\u0421\u03f9 E\u0415\u0395 H\u041d\u0397 I\u0406\u0399 J\u0408\u037f K\u041a\u039a M\u041c\u039c N_\u039d O\u041e\u039f P\u0420\u03a1 S\u0405_ T\u0422\u03a4 X\u0425\u03a7 Y\u04ae\u03a5 Z_\u0396 G\u050c_ Q\u051a_ W\u051c_ "
+    "a\u0430\u03b1 c\u0441\u03f2 e\u0435_ i\u0456\u03b9 j\u0458\u03f3 o\u043e\u03bf p\u0440\u03c1 s\u0455_ x\u0445\u03c7 y\u0443\u03b3 v\u0475\u03bd d\u0501_ h\u04bb_ q\u051b_ w\u051d_ l\u04cf_ g\u0261_ "
 ).split()
 _SCRIPTS = 3
 #: Ignorable characters: no width, no ink.
@@ -47,7 +47,7 @@ for _d in DOUBLES:
             _ALT.setdefault(_c, tuple(_d))
 _FOREIGN = "".join(sorted({c for d in DOUBLES for c in d[1:] if c != "_"}))
 _FOREIGN_RE = re.compile(f"[{re.escape(_FOREIGN)}]")
-_TOKEN_RE = re.compile("[A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f\u13de\u1d1c\ua798\u0261\u0269]+(?:\u0300-\u036f)*")
+_TOKEN_RE = re.compile("[A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f\u0261]+")
 #: The model's alphabet: Latin to Cyrillic.
 ALPHABET = 0x530
 #: Bits that a change of script within a word costs, and that a word costs which is not in the script of its text.
@@ -123,7 +123,7 @@ class Lattice:
             for c in m[0]:
                 if c not in _ALT:
                     sure[_script(c)] += 1
-        home = max(range(_SCRIPTS), key=lambda s: (sure[s], -s))
+        home = max(range(_SCRIPTS), key=lambda s: (sure[s], -s))  # Latin where nothing tells
         return _TOKEN_RE.sub(lambda m: self.best(m[0], home), t)
 
 
