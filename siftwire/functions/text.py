@@ -20,6 +20,15 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Every blank, line breaks too: Java's \\s alone is ASCII.
+_BLANKS = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at the ends."""
+    return F.regexp_replace(c, f"^{_BLANKS}+|{_BLANKS}+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of blanks as one space, none at the ends."""
     return F.trim(F.regexp_replace(text_or_empty(c), "[\\s\\u00a0\\u2000-\\u200a\\u3000]+", " "))
@@ -48,7 +57,7 @@ def strip_boilerplate(c: Column, compat: bool = False) -> Column:
 def distinct_sentences(c: Column) -> Column:
     """The sentences of a text, each once (the first, whatever the case), joined by a space."""
     marked = F.regexp_replace(text_or_empty(c), "([.!?])\\s+", "$1\u0001")
-    sentences = F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
     lowered = F.transform(sentences, F.lower)
     kept = F.filter(sentences, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)
     return F.array_join(kept, " ")
@@ -154,7 +163,7 @@ def token_sort_ratio_column(a: Column, b: Column) -> Column:
     import pandas as pd
 
     @F.pandas_udf("int")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    def ratio(x, y):
         return pd.Series([token_sort_ratio(p, q) for p, q in zip(x, y)], dtype="int32")
 
     return ratio(a, b)
@@ -164,8 +173,6 @@ def repair_encoding(c: Column) -> Column:
     """NFC, and UTF-8 that was read as Latin-1 read again where the whole text allows it."""
     import unicodedata
 
-    import pandas as pd
-
     def one(t: str | None) -> str | None:
         if t is None:
             return None
@@ -176,7 +183,7 @@ def repair_encoding(c: Column) -> Column:
             return t
 
     @F.pandas_udf("string")
-    def repair(x: pd.Series) -> pd.Series:
+    def repair(x):
         return x.map(one)
 
     return repair(c)

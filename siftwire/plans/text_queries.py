@@ -87,7 +87,7 @@ def q_html_strip(spark: SparkSession, d: str) -> DataFrame:
     return _articles(spark, d).select("id", F.length(t).cast("bigint").alias("chars"), F.md5(t).alias("digest"))
 
 
-@query("""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text,''),'([.!?])\\s+','\\1' || chr(1),'g'),chr(1)), lambda x: trim(x)), lambda x: x <> '') as s from documents),
+@query("""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text,''),'([.!?])\\s+','\\1' || chr(1),'g'),chr(1)), lambda x: regexp_replace(x,'^[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+|[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$','','g')), lambda x: x <> '') as s from documents),
  l as (select doc_id, s, list_transform(s, lambda x: lower(x)) as l from s)
  select doc_id, md5(coalesce(array_to_string(list_filter(s, lambda x, i: list_position(l, lower(x)) = i),' '),'')) as digest from l""")
 def q_sentence_dedup(spark: SparkSession, d: str) -> DataFrame:
