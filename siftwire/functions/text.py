@@ -55,12 +55,26 @@ def strip_boilerplate(c: Column, compat: bool = False) -> Column:
 
 
 def distinct_sentences(c: Column) -> Column:
-    """The sentences of a text, each once (the first, whatever the case), joined by a space."""
-    marked = F.regexp_replace(text_or_empty(c), "([.!?])\\s+", "$1\u0001")
-    sentences = F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
-    lowered = F.transform(sentences, F.lower)
-    kept = F.filter(sentences, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)
-    return F.array_join(kept, " ")
+    """The sentences of a text, each once (the first, whatever the case), joined by a space.
+
+    An Arrow function: higher-order functions would search the list of sentences anew for each of them, which long texts make slow.
+    """
+    cut = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+")
+    blanks = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+    def one(t: str) -> str:
+        kept: dict[str, str] = {}
+        for s in cut.split(t):
+            s = s.strip(blanks)
+            if s:
+                kept.setdefault(s.lower(), s)
+        return " ".join(kept.values())
+
+    @F.pandas_udf("string")
+    def distinct(texts):
+        return texts.map(one)
+
+    return distinct(text_or_empty(c))
 
 
 def clean(c: Column) -> Column:
