@@ -23,7 +23,7 @@ READERS = {"cp1252": 1, "latin-1": 1, "cp850": 1, "cp437": 1, "mac_roman": 1, "c
 #: A cheap sign in the JVM that a text may be garbled: it decides only which texts are searched.
 SUSPECT = (
     "[\\u0080-\\u009f\\ufffd\\u2500-\\u259f\\u221a\\u2202\\u0192\\u02c6\\u02dc\\u2030\\u0152\\u0178\\u0160\\u017d\\u00c0-\\u00df\\u00f0\\u00fd\\u00fe]"
-    "|[\\u00e2\\u00e3\\u00e5][\\u0080-\\u00bf\\u2018-\\u203a\\u20ac\\u2122]|[\\u00c0-\\u00ff]{3}|[\\u0637\\u0638][^\\u0621-\\u064a\\s][\\u0637\\u0638]|[\\u0420\\u0421][^\\u0430-\\u044f\\s][\\u0420\\u0421]|[a-z][\\u00f7\\u00f5\\u00b3][a-z]|\\?\\?|[a-z\\u00e0-\\u00ff]\\?[a-z]"
+    "|[\\u00e2\\u00e3\\u00e5][\\u0080-\\u00bf\\u2018-\\u203a\\u20ac\\u2122]|[\\u00c0-\\u00ff]{3}|[\\u0637\\u0638][^\\u0621-\\u064a\\s][\\u0637\\u0638]|[\\u0420\\u0421][^\\u0430-\\u044f\\s][\\u0420\\u0421]|[A-Za-z][\\u00f7\\u00f5\\u00b3][a-z]|\\?\\?|[a-z\\u00e0-\\u00ff]\\?[a-z]"
 )
 
 
@@ -91,13 +91,22 @@ _ARABIC_AS_LATIN = re.compile(f"(?<![A-Za-z{_HIGH}])[{_HIGH}ªŒœŠšŸŽžƒ]{
 #: Letters that Turkish read as western Latin holds in place of its own.
 _TURKISH_AS_LATIN = re.compile("[A-Za-zÀ-ÿ]*[ðýþÐÝÞ][A-Za-zÀ-ÿ]*")
 #: Capitals within lower-case words, as western Latin read as a DOS code page holds.
-_LATIN_AS_DOS = re.compile("[a-z][ÚÞÓÛÆÔÙÒÕØÍÊËÎßþƒ÷▀õ³][a-z]")
+_LATIN_AS_DOS = re.compile("[a-z][ÚÞÓÛÆÔÙÒÕØÍÊËÎ][a-z]|[A-Za-z][÷▀õ³][a-z]|[a-z]{2}[ÚÞÓÛ](?![A-Za-zÀ-ÿ])")
 #: Question marks in place of letters: inside a word, and words of nothing else.
 _MARK_IN_WORD = re.compile("[a-zà-ÿ]{2}\\?[a-z]{2}|\\b[ldnscjm]\\?[a-zà-ÿ]{2}")
 _MARK_WORDS = re.compile("(?:(?<=\\s)|^)\\?{2,}(?=[\\s,.:]|$)")
 _URL = re.compile("https?:\\S+|www\\.\\S+|[\\w-]+/\\S*\\?\\S+")
 
 
+@lru_cache(1024)
+def _from_dos(c: str) -> str:
+    """The character of Windows-1252 whose byte the DOS code page 850 shows as ``c``."""
+    try:
+        return c if c.isascii() else c.encode("cp850").decode("cp1252")
+    except UnicodeError:
+        return c
+
+
 def _recode(text: str, pattern: re.Pattern, written: str, read: str) -> str:
     def fix(m: re.Match) -> str:
         try:
@@ -142,15 +151,11 @@ def repair(text: str | None) -> tuple[str | None, bool]:
     fixed, letters = _arabic(text)
     if letters:
         text, found = fixed, True
-    hits = sum(len(re.findall("[ðýþÐÝÞ]", m[0])) for m in _TURKISH_AS_LATIN.finditer(text) if not _LATIN_AS_DOS.search(m[0].replace("þ", ""))) if re.search("[ðýþÐÝÞ]", text) else 0
-    dos = len(_LATIN_AS_DOS.findall(re.sub("[þƒß]", "", text)))
-    if dos:
-        try:
-            trial = re.sub("[^\x00-\x7f]+", lambda m: m[0].encode("cp850").decode("cp1252"), text)
-            if re.search("[à-ü’]", trial) and not _LATIN_AS_DOS.search(trial):
-                text, found, hits = trial, True, 0
-        except UnicodeError:
-            pass
+    hits = sum(len(re.findall("[ðýþÐÝÞ]", m[0])) for m in _TURKISH_AS_LATIN.finditer(text) if not _LATIN_AS_DOS.search(m[0])) if re.search("[ðýþÐÝÞ]", text) else 0
+    if _LATIN_AS_DOS.search(text) and "ã" not in text:
+        trial = "".join(_from_dos(c) for c in text)
+        if re.search("[à-ü’ß]", trial) and not _LATIN_AS_DOS.search(trial):
+            text, found, hits = trial, True, 0
     if hits >= 2 or hits and re.search("[a-z]ý|ý[a-z]|þ[a-z]|[a-z]ð", text) and re.search("ü|ö|ç", text):
         text, found = text.translate({0xF0: "ğ", 0xFD: "ı", 0xFE: "ş", 0xD0: "Ğ", 0xDD: "İ", 0xDE: "Ş"}), True
     if not found and "?" in text:
