@@ -58,9 +58,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec
     if block:
         out = search(block) if out is None else out.unionByName(search(block))
     if out is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint")
+        return spark.createDataFrame([], "query_id bigint, rank bigint, vec_id bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id")
+    return out.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -346,7 +346,7 @@ def q_pivot(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).count().na.fill(0)
 
 
-@query("""select o_orderkey, sum(round(o_totalprice*100)::bigint) over w as moving, round(o_totalprice*100)::bigint - lag(round(o_totalprice*100)::bigint) over (partition by o_custkey order by o_orderdate, o_orderkey) as change, ntile(4) over (partition by o_custkey order by o_orderdate, o_orderkey) as quarter from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row)""")
+@query("""select o_orderkey, (sum(round(o_totalprice*100)::bigint) over w)::bigint as moving, round(o_totalprice*100)::bigint - lag(round(o_totalprice*100)::bigint) over (partition by o_custkey order by o_orderdate, o_orderkey) as change, ntile(4) over (partition by o_custkey order by o_orderdate, o_orderkey) as quarter from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row)""")
 def q_frames(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
