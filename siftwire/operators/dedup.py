@@ -75,7 +75,7 @@ def fuzzy_links(rows: DataFrame, threshold: int = 85, loose: int = 68, hours: in
 
     A row meets the rows of its own time bucket and of the one before, so each pair within reach meets once.  The distance of the
     bags of characters is a lower bound of the indel distance and is computed for whole blocks at once; what it leaves is compared
-    exactly.  Nothing is lost, and no task holds more than two blocks.  ``rows``: node, at_us, title, topic, entities.
+    exactly.  Nothing is lost, and no task holds more than two blocks.  Rows without a time take no part: give them that of retrieval.  ``rows``: node, at_us, title, topic, entities.
     """
     step = hours * 3_600_000_000
     rows = rows.filter("at_us is not null and title != ''").withColumn("b", F.floor(F.col("at_us") / step))
