@@ -5,10 +5,14 @@ longest common subsequence, and the shared lines are deleted.  Lines are compare
 digits masked, so that "27 shares" and "9 shares" are one line.  Neighbours that share most of their text are copies of one story
 and are passed over for the next ones.
 
-A story also shares lines with its neighbours (subheads, stock sentences) and furniture differs (lists of other stories), so every
-line is then checked by what the corpus knows about its key: how often it is shared, how often it stands in furniture markup (link
-lists, footers, blocks outside the story's container) against story markup, and whether it is a subhead.  These counts cover all
-pages and are summed per task before they are shuffled.
+A key that some alignment shares is a candidate wherever it stands.  A story also shares lines with its neighbours (subheads, stock
+sentences), so the corpus confirms or vetoes each candidate: how often its key is shared, how often it stands in furniture markup
+(link lists, footers, blocks outside the story's container) against story markup, and whether it is a subhead.  These counts cover
+all pages and are summed per task before they are shuffled.
+
+Lines that no alignment shares (lists of other stories) are furniture by other rules only: the page's own markup says so, or, on
+plain pages, the line has neither an end mark nor a full sentence and is a menu, recurs on at least RECURS pages, or stands in an
+unbroken run of such lines beside a line that is sure.  Any other unshared line belongs to the story.
 
 Defined results: null, blank and markup-only lines are no furniture; a page of one single text line has none; pages without a URL
 are aligned with one another; repeated rows give one row per line; texts of any length are read whole.
@@ -22,7 +26,7 @@ from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import cut
@@ -30,7 +34,7 @@ from .encoding import SUSPECT, repair
 from .lookalike import fold
 
 #: Flags of a line.  MARKED: the page has markup; INSIDE: in the story's container, or no container is known.
-TERMINAL, MARKED, INSIDE, CLASSED, LINKED, HEAD, SHORT, BETWEEN, SCRIPT, ALONE, SHARED = (1 << i for i in range(11))
+TERMINAL, MARKED, INSIDE, CLASSED, LINKED, HEAD, SHORT, BETWEEN, SCRIPT, ALONE, SHARED, SENTENCE, MENU = (1 << i for i in range(13))
 
 _SUSPECT_RE = re.compile(SUSPECT)
 _TAG = re.compile(r"<[^<>]*>")
@@ -44,6 +48,8 @@ _LINK = re.compile(r"<a\b[^<>]*>.*?</a>", re.I | re.S)
 _H2 = re.compile(r"<h[12]\b", re.I)
 _ODD = re.compile("[ ­؜​-‏ - ‪- ⁠　ﬀ-﻿＀-￯Ͱ-ԯ]")
 _END = re.compile(r"[.!?؟…。»”\"’)]$|\.[\"”»’)]$")
+_MARK = re.compile("(\\d\\s)?([^\\W\\d_]*|[\\d%٪]+)[\"”»’')\\]]*(。|[.!?؟…]+[\"”»’')\\]�]*(?=\\s|$))")
+_ITEMS = re.compile(r"\s+[|/·•]\s+|\s{2,}")
 _DIGITS = re.compile(r"[0-9٠-٩۰-۹]+")
 
 
@@ -53,6 +59,22 @@ def line_key(text: str) -> int:
     return int.from_bytes(blake2b(" ".join(masked.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def has_sentence(text: str) -> bool:
+    """Whether a sentence of at least four words ends in a text, whatever follows it ("... of the total. m²").
+
+    A mark ends no sentence after an initial or a title ("Dr."), after a short unit of a number ("51 Mio.") or before a word in lower case.
+    """
+    for m in _MARK.finditer(text):
+        word, after = m[2], text[m.end() :].split(None, 1)
+        if m[3] == "。":
+            return True
+        if word.isalpha() and len(word) < (5 if m[1] else 3 if word[0].isupper() else 2) or after and after[0].isalpha() and after[0][0].islower():
+            continue
+        if len(text[: m.end()].split()) >= 4:
+            return True
+    return False
+
+
 def _container(lines: list[str]) -> tuple[list[int], int]:
     """(block of each line, block of the story): the innermost block that each line stands in, and the one with the most prose."""
     stack, blocks, prose, number = [0], [], {0: 0}, 0
@@ -110,6 +132,11 @@ def text_lines(content: str) -> list[tuple[int, str, int]]:
             continue
         if _END.search(text):
             flags |= TERMINAL
+        if has_sentence(text):
+            flags |= SENTENCE
+        items = _ITEMS.split(text)
+        if len(items) > 2 and all(0 < len(x.split()) <= 3 for x in items):
+            flags |= MENU
         if len(text) <= 60 and len(text.split()) <= 6:
             flags |= SHORT
         out.append((i + 1, text, flags))
@@ -204,6 +231,10 @@ def difference(paged: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, _PAGE.format(kind=kind))
 
 
+#: Pages that a line without an end mark stands on, at least, if that alone makes it furniture.
+RECURS = 4
+
+
 def _has(flag: int) -> Column:
     return F.col("flags").bitwiseAND(flag) != 0
 
@@ -228,6 +259,7 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
     head = F.coalesce(F.col("as_head"), F.lit(0)) > F.coalesce(F.col("in_furniture"), F.lit(0))
     shared = F.coalesce(F.col("shared") / F.col("n"), F.lit(0.0))
     subhead = _has(SHORT) & ~_has(TERMINAL) & (head | (marks == 0) & (F.coalesce(F.col("between") / F.col("n"), _has(BETWEEN).cast("int")) >= 0.5))
+    candidate = F.coalesce(F.col("shared"), F.lit(0)) > 0
     stock = F.when(marks >= 3, usual >= 0.15).otherwise(F.when(_has(TERMINAL), (shared >= 0.5) & (F.col("n") >= 4) & (usual >= 0.15) | (marks == 0) & (shared >= 0.6) & (F.col("n") >= 4)).otherwise(True))
     furniture = (
         F.when(_has(SCRIPT), True)
@@ -236,6 +268,15 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
         .when(outer, True)
         .when(_has(MARKED) & ~_has(TERMINAL) & ~_has(SHORT) & (marks < 3), False)
         .when(subhead, False)
-        .otherwise(stock)
+        .otherwise(candidate & stock)
     )
-    return j.filter(furniture).select(F.col("id").alias("article_id"), F.col("line").cast("bigint").alias("line_no"))
+    open_ = ~_has(MARKED) & ~_has(ALONE) & ~candidate & ~head & ~subhead & ~_has(TERMINAL) & ~_has(SENTENCE) & ((marks < 3) | (usual >= 0.15))
+    furniture = furniture | open_ & (_has(MENU) | (F.coalesce(F.col("n"), F.lit(1)) >= RECURS))
+    listed = open_ & ~furniture
+    j = j.select("id", "line", _has(MARKED).alias("marked"), F.coalesce(furniture, F.lit(False)).alias("furniture"), F.coalesce(listed, F.lit(False)).alias("listed"))
+    # Of plain pages, the nearest line before and after that is not itself in question; each frame ends at the row, so a page costs linear time.
+    w = lambda line: Window.partitionBy("id").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
+    sure = F.when(~F.col("listed"), F.col("furniture"))
+    beside = [F.coalesce(F.last(sure, ignorenulls=True).over(w(o)), F.lit(False)) for o in (F.col("line").asc(), F.col("line").desc())]
+    plain = j.filter("not marked").withColumn("before", beside[0]).withColumn("after", beside[1]).filter("furniture or listed and (before or after)")
+    return j.filter("marked and furniture").select("id", "line").unionByName(plain.select("id", "line")).select(F.col("id").alias("article_id"), F.col("line").cast("bigint").alias("line_no"))

@@ -66,3 +66,23 @@ def test_common_lines(seed):
 
 def test_digits_are_masked():
     assert boilerplate.line_key("27 shares") == boilerplate.line_key("9  Shares") != boilerplate.line_key("9 views")
+
+
+def test_a_unique_sentence_without_end_mark_is_story(spark):
+    rows = [(f"p{i}", *p[1:]) for i, p in enumerate(pages())]
+    tail = "Funding costs climbed by nine basis points since the merger of Qal and Wam. m²"
+    url, content = rows[7][1:3]
+    rows[7] = ("p7", url, content + "\nRelated stories\nBoard of Lazokir approves a capital call\n" + tail, None)
+    rows[8] = ("p8", rows[8][1], rows[8][2] + "\nRelated stories\nGiza opens a desk for loans with a budget of Omar", None)
+    assert run(spark, rows)["p7"] == {1, 2, 3, 9, 10, 11}
+    assert run(spark, rows)["p8"] == {1, 2, 3, 9, 10, 11}
+
+
+def test_a_line_between_story_lines_is_story_without_candidates(spark):
+    rows = [("a", "https://x.example/1", "The bank closed its deal in May.\nA plain note on what Lazokir and its owners said of the deal\nLate fees may not exceed a tenth.", None)]
+    assert run(spark, rows) == {}
+
+
+@pytest.mark.parametrize("text, found", [("It fell to 5.8% of the total. m²", True), ('"Margins," she said, "show it." ½', True), ("Lazokir schließt Verbriefung über 51.3 Mio. ab", False), ("Board of Lazokir and Dr. Omar approve it", False), ("Board of Lazokir approves a capital call", False)])
+def test_has_sentence(text, found):
+    assert boilerplate.has_sentence(text) == found
