@@ -301,14 +301,62 @@ def _power(before: str, after: str) -> int:
     return 2 if before[-1] in _PAUSE else 1
 
 
+#: Ends of sentences and clauses inside an unbroken run; a mark between digits ends neither.
+_RUN_MARKS = re.compile(f"[{re.escape(_STOP + _PAUSE)}]+[{re.escape(_CLOSERS)}]*(?<![0-9][.,:](?=[0-9]))")
+
+
+def _run_places(run: str, e: Encoder, most: int) -> list[tuple[int, int, int]]:
+    """(end, tokens, power) of the segments of an unbroken run: cut behind sentence and clause marks, and where a segment between
+    two marks measures more than ``most``, at fixed widths as well (power 0)."""
+    ends = [(m.end(), 3 if m[0].rstrip(_CLOSERS)[-1:] in _STOP else 2) for m in _RUN_MARKS.finditer(run) if m.end() < len(run)]
+    out, at = [], 0
+    for end, power in [*ends, (len(run), 9)]:
+        parts = _parts(run[at:end], e, most)
+        out += [(at + a, n, 0) for a, n in parts[:-1]] + [(end, parts[-1][1], power)]
+        at = end
+    return out
+
+
+def _back(text: str, own: int, e: Encoder, most: int) -> int:
+    """The first character of the longest end of ``text[:own]`` that measures at most ``most`` tokens by itself."""
+    size = lambda width: len(e._coder.encode_ordinary(text[own - width : own]))
+    low, high = 0, min(own, max(1, most))
+    while high < own and size(high) <= most:
+        low, high = high, min(own, 2 * high)
+    if size(high) <= most:
+        return own - high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if size(middle) <= most else (low, middle)
+    return own - low
+
+
+def _measured(text: str, own: int, end: int, e: Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Pieces, as of ``split_text``, of ``text[own:end]``, measured for themselves; the overlap is measured back by characters."""
+    n = len(e.encode(text[own:end]))
+    if n > limit and end - own > 1:
+        ends = [own, *[own + a for a, _ in _parts(text[own:end], e, limit - overlap)]]
+        return [x for a, b in zip(ends, ends[1:]) for x in _measured(text, a, b, e, limit, overlap)]
+    start, room = own, min(overlap, limit - n)
+    while own and room > 0:
+        start = _back(text, own, e, room)
+        both = len(e.encode(text[start:end]))
+        if both <= limit:
+            return [(start, end, own, both)]
+        start, room = own, room - (both - limit)
+    return [(start, end, own, n)]
+
+
 def split_text(text: str, e: Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, end, own_start, n_tokens) of each piece of a text: characters ``own_start:end`` are its own, ``start:own_start``
     repeats the end of the piece before.
 
     Atoms are sentences and lines; an atom too large in itself is cut at clauses, then words, then characters.  Adjacent atoms
     stand in a heap by the weakness of the boundary between them (then by their sum, then by place) and are merged while the
-    sum plus the overlap fits the limit.  Cuts fall between chunks, whose ids are their own, so sizes add up exactly; inside
-    an unbroken run, where there is no such place, each part is measured for itself.
+    sum plus the overlap fits the limit.  Cuts fall between chunks, whose ids are their own, so sizes add up exactly.  An unbroken
+    run is cut behind its own sentence and clause marks, then at fixed widths; its segments weigh what they measure alone, and a
+    piece that begins or ends in it is measured for itself.  Where no chunk begins in the later half of the overlap's reach, the
+    overlap is measured back by characters until its tokens are reached.
     """
     chunks = _CHUNKS.findall(text)
     known, chunk = e._known, e.chunk
@@ -317,36 +365,46 @@ def split_text(text: str, e: Encoder, limit: int, overlap: int) -> list[tuple[in
     if total <= limit:
         return [(0, len(text), 0, total)]
     room = limit - overlap
-    # Places where a cut can be: character, tokens before it, power of the boundary.
-    place, before, power = [0], [0], [9]
-    at = tokens = 0
+    # Places where a cut can be: character, tokens before it, segments' tokens before it, power of the boundary, in a run or not.
+    place, before, weight, power, inner = [0], [0], [0], [9], [False]
+    at = tokens = weighed = 0
     for i, c in enumerate(chunks):
         if i:
             place.append(at)
             before.append(tokens)
+            weight.append(weighed)
             power.append(_power(chunks[i - 1], c))
-        if sizes[i] > room:  # an unbroken run: parts that measure at most the room
+            inner.append(False)
+        if sizes[i] > room:  # an unbroken run
             measured = 0
-            for a, n in _parts(c, e, room)[:-1]:
+            segments = _run_places(c, e, room)
+            for a, n, strength in segments[:-1]:
                 measured += n
                 place.append(at + a)
                 before.append(tokens + min(measured, sizes[i]))
-                power.append(0)
+                weight.append(weighed + measured)
+                power.append(strength)
+                inner.append(True)
+            weighed += measured + segments[-1][1]
+        else:
+            weighed += sizes[i]
         at += len(c)
         tokens += sizes[i]
     place.append(at)
     before.append(tokens)
+    weight.append(weighed)
     power.append(9)
+    inner.append(False)
     bounds = [i for i in range(len(place)) if power[i] >= 3]
     for least in (2, 1, 0):  # finer cuts only where an atom is too large
         finer = [bounds[0]]
         for a, b in zip(bounds, bounds[1:]):
-            if before[b] - before[a] > room:
+            if weight[b] - weight[a] > room:
                 finer += [i for i in range(a + 1, b) if power[i] >= least]
             finer.append(b)
         bounds = finer
     k = len(bounds) - 1
-    size = [before[bounds[i + 1]] - before[bounds[i]] for i in range(k)]
+    size = [weight[bounds[i + 1]] - weight[bounds[i]] for i in range(k)]
     left, right, version = list(range(-1, k - 1)), list(range(1, k + 1)), [0] * k
     heap = [(power[bounds[i + 1]], size[i] + size[i + 1], i, 0, 0) for i in range(k - 1) if size[i] + size[i + 1] <= room]
     heapq.heapify(heap)
@@ -369,23 +427,11 @@ def split_text(text: str, e: Encoder, limit: int, overlap: int) -> list[tuple[in
     out, i = [], 0
     while i < k:
         a, b = bounds[i], bounds[right[i]]
-        s = a
-        if overlap and i:
-            s = bisect_left(before, before[a] - overlap)
-            while s < a and power[s] == 0:  # the overlap begins with a word
-                s += 1
-        n = before[b] - before[s]
-        if 0 in (power[b], power[a]) or any(power[x] == 0 for x in (s, b)):
-            n = len(e.encode(text[place[s] : place[b]]))
-            if n > limit:
-                s, n = a, len(e.encode(text[place[a] : place[b]]))
-        if n > limit:
-            end = place[a]
-            for c, m in _parts(text[place[a] : place[b]], e, limit):
-                out.append((end, place[a] + c, end, m))
-                end = place[a] + c
+        s = bisect_left(before, before[a] - overlap, 0, a) if overlap and i else a
+        if inner[a] or inner[b] or inner[s] or i and before[a] - before[s] < overlap // 2:
+            out += _measured(text, place[a], place[b], e, limit, overlap)
         else:
-            out.append((place[s], place[b], place[a], n))
+            out.append((place[s], place[b], place[a], before[b] - before[s]))
         i = right[i]
     return out
 

@@ -122,3 +122,19 @@ def test_overlap_repeats_the_end(spark):
     assert [(r.piece_no, r.n_tokens, r.piece) for r in rows if r.doc_id == 2] == [(0, 0, "")]
     with pytest.raises(ValueError):
         tokens.split_documents(df, 8, 8)
+
+
+@pytest.mark.parametrize("text", ["".join(f"Thebanksaidthatitsbookgrewby{i}.7%inMay,whilefeesfell." for i in range(120)), "中文，没有空格。" * 300, "a" * 30000, "Words before. " * 5 + "".join(f"x{i}" for i in range(2000)) + " words behind it." * 60])
+def test_overlap_inside_an_unbroken_run(text):
+    e = tokens.encoder()
+    pieces = tokens.split_text(text, e, 512, 64)
+    assert len(pieces) > 1 and "".join(text[o:z] for _, z, o, _ in pieces) == text
+    for s, z, o, n in pieces:
+        assert n == len(e._coder.encode_ordinary(text[s:z])) <= 512
+    assert all(s < o and (s == 0 or 32 <= len(e._coder.encode_ordinary(text[s:o]))) and len(e._coder.encode_ordinary(text[s:o])) <= 64 for s, _, o, _ in pieces[1:])
+
+
+def test_runs_are_cut_behind_marks():
+    text = "".join(f"Thebanksaidthatitsbookgrewby{i}.7%inMay,whilefeesfell." for i in range(120))
+    pieces = tokens.split_text(text, tokens.encoder(), 512, 64)
+    assert all(text[o - 1] == "." and not text[o].isdigit() for _, _, o, _ in pieces[1:])
