@@ -3,8 +3,8 @@
 Whether a value of a field is usable is latent.  Binary witnesses speak for or against it; each has a sensitivity (how often it
 accepts a usable value) and a specificity (how often it rejects a useless one), which expectation-maximisation infers from all rows
 at once.  The statistics that EM needs are counts of witness patterns, at most 2^WITNESSES per field: they are summed in one
-aggregation, EM runs on them on the driver, and the posterior of each pattern goes back as a literal.  The same model, with the
-publishers as witnesses of the values that they claim, scores the values of multi-valued fields (``true_values``).
+aggregation, EM runs on them on the driver, and the posterior of each pattern goes back as a literal.  Witnesses are rules on a
+value; publishers are no witnesses, and multi-valued fields are not scored.
 
 Defined results: null and blank values are useless; a group without a usable value has no row for the field; ties in tier and time
 go to the smallest event id; repeated rows are made distinct; events outside any group take no part; null group numbers neither.
