@@ -3,7 +3,7 @@
 Pages are range-sorted by host and URL path; each page is aligned with its nearest neighbours on the same host, line by line, by
 longest common subsequence, and the shared lines are deleted.  Lines are compared by a key of their text without markup, with
 digits masked, so that "27 shares" and "9 shares" are one line.  Neighbours that share most of their text are copies of one story
-and are passed over for the next ones.
+and count as one neighbour, whose shared lines are shared lines of all copies.
 
 A key that some alignment shares is a candidate wherever it stands.  A story also shares lines with its neighbours (subheads, stock
 sentences), so the corpus confirms or vetoes each candidate: how often its key is shared, how often it stands in furniture markup
@@ -179,7 +179,7 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return out_a, out_b
 
 
-#: How many neighbours along the URL path a page is aligned with, so that a run of copies does not hide the next other page.
+#: How many neighbouring stories along the URL path a page is aligned with; all copies of a story are one.
 NEAREST = 3
 
 _PAGE = "id {kind}, host string, path string, line array<int>, key array<bigint>, flags array<int>"
@@ -210,22 +210,41 @@ def difference(paged: DataFrame) -> DataFrame:
     ordered = paged.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: list[list] = []  # host, keys, flags, of the last pages
+        near: list[tuple] = []  # (host, keys, flags, shared keys, copies of this batch) of the last stories
 
         for b in batches:
             hosts, keys, flags = b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()
+            copied = []
             for h, k, f in zip(hosts, keys, flags):
                 if near and near[-1][0] != h:
                     near = []
-                for _, k2, f2 in near:
-                    at, at2 = common_lines(k, k2)
-                    if 2 * sum(1 for i in at if f[i] & TERMINAL and not f[i] & SHORT) > sum(1 for x in f if x & TERMINAL and not x & SHORT):
-                        continue  # a copy of the same story
+                story, shared = None, set()
+                prose = sum(1 for x in f if x & TERMINAL and not x & SHORT)
+                for entry in near:
+                    at, at2 = common_lines(k, entry[1])
+                    if 2 * sum(1 for i in at if f[i] & TERMINAL and not f[i] & SHORT) > prose:
+                        story = entry  # this page is a copy of it
+                        continue
                     for i in at:
                         f[i] |= SHARED
+                        shared.add(k[i])
                     for i in at2:
-                        f2[i] |= SHARED
-                near = [*near[1 - NEAREST :], [h, k, f]]
+                        entry[2][i] |= SHARED
+                        entry[3].add(entry[1][i])
+                if story is None:
+                    near = [*near[1 - NEAREST :], (h, k, f, shared, [])]
+                else:
+                    if not story[4]:
+                        copied.append(story)
+                    story[4].append((k, f))
+                    story[3].update(shared)
+                    near = [*[x for x in near if x is not story], story]
+            for story in copied:
+                for k, f in [story[1:3], *story[4]]:
+                    for i, x in enumerate(k):
+                        if x in story[3]:
+                            f[i] |= SHARED
+                story[4].clear()
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(flags, pa.list_(pa.int32()))], b.schema.names)
 
     return ordered.mapInArrow(run, _PAGE.format(kind=kind))

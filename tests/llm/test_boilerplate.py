@@ -86,3 +86,11 @@ def test_a_line_between_story_lines_is_story_without_candidates(spark):
 @pytest.mark.parametrize("text, found", [("It fell to 5.8% of the total. m²", True), ('"Margins," she said, "show it." ½', True), ("Lazokir schließt Verbriefung über 51.3 Mio. ab", False), ("Board of Lazokir and Dr. Omar approve it", False), ("Board of Lazokir approves a capital call", False)])
 def test_has_sentence(text, found):
     assert boilerplate.has_sentence(text) == found
+
+
+def test_a_run_of_copies_does_not_hide_the_pages_around_it(spark):
+    first, copy, last = (p[2] for p in (pages()[0], pages()[7], pages()[12]))
+    rows = [("a", "https://h.example/a/1", first), *[(f"c{i}", "https://h.example/a/2", copy) for i in range(10)], ("z", "https://h.example/a/3", last)]
+    df = spark.createDataFrame(rows, "id string, url string, content string")
+    got = {r.id: {n for n, f in zip(r.line, r["flags"]) if f & boilerplate.SHARED} for r in boilerplate.difference(boilerplate.pages(df)).collect()}
+    assert all({1, 2, 3, 9} <= got[r[0]] for r in rows) and len({frozenset(got[f"c{i}"]) for i in range(10)}) == 1
