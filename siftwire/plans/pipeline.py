@@ -81,6 +81,10 @@ class RunContext:
     when_empty: str = "skip"
     zone: str = "UTC"
     sections: tuple[str, ...] = field(default=())
+    #: Lexicons (name: terms in the title) of topics and entities, where the model names none; entities that make no two reports one event.
+    topics: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    entities: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    generic: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if not 1 <= self.lookback_days <= 366:
@@ -92,7 +96,7 @@ class RunContext:
             raise ValueError("when_empty must be skip or send_empty")
 
 
-_REPLY = "category string, is_relevant boolean, importance_score int, relevance_score int, confidence double"
+_REPLY = "category string, is_relevant boolean, importance_score int, relevance_score int, confidence double, entities array<string>, topic string"
 
 
 def preprocess(articles: DataFrame, ctx: RunContext) -> DataFrame:
@@ -109,13 +113,17 @@ def preprocess(articles: DataFrame, ctx: RunContext) -> DataFrame:
 def classify(articles: DataFrame, ctx: RunContext, model: ModelClient) -> DataFrame:
     """Rules first; of what no rule decides, the newest ``model_budget`` articles go to the model, on the driver."""
     hit = rules.first_match(list(ctx.rules))
-    a = articles.withColumn("title_l", F.lower("title")).withColumn("source_l", F.lower(F.coalesce("source_name", F.lit("")))).withColumn("hit", hit)
-    known = a.filter("hit.rule != 'none'").select("id", F.col("hit.label").alias("category"), (F.col("hit.score") > 0).alias("is_relevant"), F.col("hit.score").alias("importance_score"), F.when(F.col("hit.score") > 0, 100).otherwise(0).alias("relevance_score"), F.lit(1.0).alias("confidence"))
-    open_ = a.filter("hit.rule = 'none'").orderBy(F.desc_nulls_last("at_us"), "id").limit(ctx.model_budget).select("id", "title", F.substring("content", 1, 3000).alias("content")).collect()
-    asked = [(r.id, model.classify(r.title, r.content or "")) for r in open_]
+    title = F.coalesce("title", F.lit(""))
+    # What the lexicons say of a title; the model's own answer goes first.
+    a = articles.withColumn("entities", rules.topics(title, ctx.entities) if ctx.entities else F.array().cast("array<string>"))
+    a = a.withColumn("topic", F.coalesce(F.try_element_at(rules.topics(title, ctx.topics), F.lit(1)), F.lit("OTHER")) if ctx.topics else F.lit("OTHER"))
+    a = a.withColumn("title_l", F.lower("title")).withColumn("source_l", F.lower(F.coalesce("source_name", F.lit("")))).withColumn("hit", hit)
+    known = a.filter("hit.rule != 'none'").select("id", F.col("hit.label").alias("category"), (F.col("hit.score") > 0).alias("is_relevant"), F.col("hit.score").alias("importance_score"), F.when(F.col("hit.score") > 0, 100).otherwise(0).alias("relevance_score"), F.lit(1.0).alias("confidence"), "entities", "topic")
+    open_ = a.filter("hit.rule = 'none'").orderBy(F.desc_nulls_last("at_us"), "id").limit(ctx.model_budget).select("id", "title", F.substring("content", 1, 3000).alias("content"), "entities", "topic").collect()
+    asked = [(r.id, model.classify(r.title, r.content or ""), r.entities, r.topic) for r in open_]
     spark = articles.sparkSession
-    replies = spark.createDataFrame(asked, "id string, reply string").withColumn("r", arrays.model_reply(F.col("reply"), _REPLY))
-    told = replies.select("id", F.coalesce("r.category", F.lit("Other")).alias("category"), F.coalesce("r.is_relevant", F.lit(False)).alias("is_relevant"), F.coalesce("r.importance_score", F.lit(0)).alias("importance_score"), F.coalesce("r.relevance_score", arrays.percent(F.col("r.confidence")), F.lit(0)).alias("relevance_score"), F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"))
+    replies = spark.createDataFrame(asked, "id string, reply string, entities array<string>, topic string").withColumn("r", arrays.model_reply(F.col("reply"), _REPLY))
+    told = replies.select("id", F.coalesce("r.category", F.lit("Other")).alias("category"), F.coalesce("r.is_relevant", F.lit(False)).alias("is_relevant"), F.coalesce("r.importance_score", F.lit(0)).alias("importance_score"), F.coalesce("r.relevance_score", arrays.percent(F.col("r.confidence")), F.lit(0)).alias("relevance_score"), F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("r.entities", "entities").alias("entities"), F.when(F.upper(F.trim("r.topic")) == "OTHER", "OTHER").when(F.trim("r.topic") != "", F.trim("r.topic")).otherwise(F.col("topic")).alias("topic"))
     return known.unionByName(told)
 
 
@@ -126,8 +134,8 @@ def build_events(articles: DataFrame, classes: DataFrame, ctx: RunContext) -> tu
     """
     good = classes.filter(F.col("is_relevant") & (F.col("relevance_score") >= ctx.least_relevance))
     a = cut(articles.join(good, "id"))
-    rows = a.select(F.col("id").alias("node"), urls.url_key(F.col("url")).alias("url_key"), "content_hash", F.lit("OTHER").alias("topic"), "at_us", text.title_words(F.col("title")).alias("title"), F.array().cast("array<string>").alias("entities"))
-    c = cut(dedup.event_clusters(rows))
+    rows = a.select(F.col("id").alias("node"), urls.url_key(F.col("url")).alias("url_key"), "content_hash", "topic", "at_us", text.title_words(F.col("title")).alias("title"), "entities")
+    c = cut(dedup.event_clusters(rows, generic=ctx.generic))
     ids = c.groupBy("component").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("node")), "|"), 256).alias("event_id"))
     links = cut(c.join(ids, "component").select("event_id", F.col("node").alias("article_id")))
     member = links.join(a.withColumnRenamed("id", "article_id"), "article_id")

@@ -10,7 +10,7 @@ from ..operators import dedup, ledger, rules, vectors
 from ..sources.tables import table
 from .text_queries import QUERIES as _TEXT
 from .text_queries import SQL as _TEXT_SQL
-from .text_queries import A, _articles
+from .text_queries import TOPICS, A, _articles
 
 QUERIES = dict(_TEXT)
 SQL = dict(_TEXT_SQL)
@@ -281,8 +281,9 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
 def q_event_clusters(spark: SparkSession, d: str) -> DataFrame:
     a = _articles(spark, d)
     c = _classes(spark, d).groupBy("article_id").agg(F.min_by("entities", "id").alias("entities"))
+    topic = F.coalesce(F.try_element_at(rules.topics(F.coalesce("title", F.lit("")), TOPICS), F.lit(1)), F.lit("OTHER"))
     rows = a.join(c, a["id"] == c["article_id"], "left").select(
-        F.col("id").alias("node"), urls.url_key(F.col("url")).alias("url_key"), "content_hash", F.lit("OTHER").alias("topic"),
+        F.col("id").alias("node"), urls.url_key(F.col("url")).alias("url_key"), "content_hash", topic.alias("topic"),
         us("retrieved_at").alias("at_us"), text.title_words(F.col("title")).alias("title"), "entities",
     )
     return dedup.event_clusters(rows)

@@ -69,3 +69,21 @@ def test_failover():
     assert both.summarise("t", "c") == "c" and "Other" in both.classify("t", "c")
     with pytest.raises(RuntimeError):
         pipeline.Failover([Down()]).classify("t", "c")
+
+
+@pytest.mark.parametrize("topics, entities, events", [(("OTHER", "OTHER"), (["Lazokir"], ["lazokir"]), 1), (("OTHER", "OTHER"), (["Lazokir"], ["Qalwam"]), 2), (("A", "B"), (["Lazokir"], ["Lazokir"]), 2), (("A", "A"), ([], []), 1)])
+def test_topics_and_entities_reach_the_clusters(spark, topics, entities, events):
+    import json
+
+    from siftwire.functions import text
+
+    titles = ("Lazokir opens a branch for loans in Giza", "Lazokir opens its branch for cards in Giza")
+    assert 68 <= text.token_sort_ratio(*[" ".join(sorted(t.lower().split())) for t in titles]) < 85
+
+    class Model(pipeline.StubModel):
+        def classify(self, title, content):
+            i = titles.index(title)
+            return json.dumps({"category": "Bank", "is_relevant": True, "importance_score": 90, "relevance_score": 90, "topic": topics[i], "entities": entities[i]})
+
+    a = spark.createDataFrame([row(f"i{i}", t, f"https://n.example/{i}", body=f"{BODY} {i}") for i, t in enumerate(titles)], schemas.ARTICLE)
+    assert pipeline.run(a, pipeline.RunContext("r1", NOW, RULES), model=Model())["counters"]["events"] == events
