@@ -26,6 +26,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "news_events"), table(spark, d, "event_groups"), table(spark, d, "articles"), table(spark, d, "competitors"))
 
 
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.true_values(table(spark, d, "news_events"), table(spark, d, "event_groups"), table(spark, d, "articles"), table(spark, d, "competitors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "articles"))
 
@@ -55,7 +59,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p3_found, p4_found, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p2_found, p3_found, p4_found, p4_values, p6_found, p6_restored, p7_found, p8_ids, p9_containers, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

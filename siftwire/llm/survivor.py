@@ -1,13 +1,22 @@
 """The best representative of each duplicate group: a latent two-sided quality model, then field-wise survivorship.
 
-Whether a value of a field is usable is latent.  Binary witnesses speak for or against it; each has a sensitivity (how often it
-accepts a usable value) and a specificity (how often it rejects a useless one), which expectation-maximisation infers from all rows
-at once.  The statistics that EM needs are counts of witness patterns, at most 2^WITNESSES per field: they are summed in one
-aggregation, EM runs on them on the driver, and the posterior of each pattern goes back as a literal.  Witnesses are rules on a
-value; publishers are no witnesses, and multi-valued fields are not scored.
-
-Defined results: null and blank values are useless; a group without a usable value has no row for the field; ties in tier and time
-go to the smallest event id; repeated rows are made distinct; events outside any group take no part; null group numbers neither.
+Whether a value of a field is true (usable for its group) is latent.  Two kinds of sources speak about it, each with a sensitivity
+(how often it stands by a true value) and a specificity (how often it stands against an untrue one), all inferred by
+expectation-maximisation:
+
+* Witnesses are rules on the value alone; every value is told by all of them.  An untrue value is untrue for one reason, and each
+  witness knows one reason, so the latent state is "true" or "untrue for reason i": specificity is that of a witness for its own
+  reason.  EM needs the counts of witness patterns only, at most 2^WITNESSES a field.
+* Publishers are the rows' own sources: a publisher claims the values of its rows and, by silence, denies the other values of the
+  groups that it covers.  What each round sums are expectations by value, group and publisher.  Denials are not listed: a group's sum
+  of denials plus, for each claim, what it changes, is the same and linear in the rows.  Publishers copy one another, so their
+  evidence is averaged over the publishers of the group: a group of any size moves a value by a bounded amount.
+
+The posterior joins both.  ``true_values`` keeps every value judged true, several of a field if need be; ``survivors`` takes, of the
+rows whose value is judged true, the one of the best tier, then the latest.
+
+Defined results: null and blank values are untrue; a group without a true value has no row for the field; ties in tier and time go to
+the smallest event id; repeated rows are made distinct; events outside any group take no part; null group numbers neither.
 """
 
 from __future__ import annotations
@@ -195,32 +204,44 @@ def broken_titles(values: DataFrame, corpus: DataFrame, names: dict[str, list[tu
     return goes_on.unionByName(ends.select("value")).distinct()
 
 
-def fit(patterns: list[tuple[int, int]], witnesses: int = WITNESSES, rounds: int = 100) -> dict[int, float]:
-    """Posterior that a value is usable, by witness pattern (bit i: witness i accepts), from the counts of all patterns.
+#: Means of the priors: witnesses pass true values, and see the reason they know.  They weigh as much as all rows together, 1000 at least.
+PASSES, SEES = 0.999, 0.95
 
-    Two-sided model: a usable value is accepted by witness i with its sensitivity, a useless one is rejected with its
-    specificity.  Started from agreement of all witnesses; beta priors keep either off 0 and 1.
+
+def fit(patterns: list[tuple[int, int]], witnesses: int = WITNESSES, rounds: int = 200) -> dict[int, float]:
+    """Posterior that a value is true, by witness pattern (bit i: witness i accepts), from the counts of all patterns.
+
+    States: true, and untrue for the reason that witness i knows.  Beta priors say that witnesses pass true values
+    and see their own reason; what a witness says of the other reasons is free.
     """
     if not patterns:
         return {}
-    bits = np.array([[p >> i & 1 for i in range(witnesses)] for p, _ in patterns], float)
+    no = 1.0 - np.array([[p >> i & 1 for i in range(witnesses)] for p, _ in patterns], float)
     n = np.array([c for _, c in patterns], float)
-    z = np.where(bits.sum(axis=1) == witnesses, 0.95, 0.05)
+    # At first the reason is the one that the first rejecting witness knows; witnesses stand in order, the simplest first.
+    z = np.eye(witnesses + 1)[np.where(no.any(axis=1), no.argmax(axis=1) + 1, 0)] + 0.01
+    z /= z.sum(axis=1, keepdims=True)
+    heavy = max(n.sum(), 1000.0)
+    prior = np.ones((witnesses + 1, witnesses))  # of a rejection, by state and witness
+    weight = np.full_like(prior, 2.0)
+    prior[0], weight[0] = heavy * (1 - PASSES), heavy
+    own = np.arange(witnesses)
+    prior[own + 1, own], weight[own + 1, own] = heavy * SEES, heavy
     for _ in range(rounds):
-        share = (n @ z + 1) / (n.sum() + 2)
-        sens = ((n * z) @ bits + 9) / (n @ z + 10)
-        spec = ((n * (1 - z)) @ (1 - bits) + 1) / (n @ (1 - z) + 2)
-        up = np.log(share) + bits @ np.log(sens) + (1 - bits) @ np.log(1 - sens)
-        down = np.log(1 - share) + (1 - bits) @ np.log(spec) + bits @ np.log(1 - spec)
-        new = 1 / (1 + np.exp(np.clip(down - up, -60, 60)))
+        mass = z * n[:, None]
+        share = (mass.sum(axis=0) + 1) / (n.sum() + witnesses + 1)
+        rejects = (mass.T @ no + prior) / (mass.sum(axis=0)[:, None] + weight)
+        log = np.log(share) + no @ np.log(rejects).T + (1 - no) @ np.log(1 - rejects).T
+        new = np.exp(log - log.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
         if np.abs(new - z).max() < 1e-9:
             break
         z = new
-    return {p: float(v) for (p, _), v in zip(patterns, z)}
+    return {p: float(v) for (p, _), v in zip(patterns, z[:, 0])}
 
 
 def judged(events: DataFrame, groups: DataFrame, articles: DataFrame | None = None, competitors: DataFrame | None = None) -> DataFrame:
-    """(group_no, event_id, tier, created_at, field, value, pattern): each grouped row's value of each field, with its
+    """(group_no, event_id, tier, created_at, publisher, field, value, pattern): each grouped row's value of each field, with its
     witness pattern.  How titles end is taken from ``articles``, whose titles are whole (without it, from the events
     themselves); names of ``competitors`` are masked in them."""
     g = groups.filter("group_no is not null and event_id is not null").select("group_no", "event_id").distinct()
@@ -229,7 +250,8 @@ def judged(events: DataFrame, groups: DataFrame, articles: DataFrame | None = No
     corpus = events.select(F.col("canonical_title").alias("title")) if articles is None else articles.select("title")
     broken = broken_titles(rows.select("group_no", F.col("canonical_title").alias("value")), corpus, known_names(competitors)).select(F.col("value").alias("title_key"), F.lit(True).alias("cut"))
     names = rows.filter("trim(canonical_source_name) != ''").groupBy(F.trim("canonical_source_name").alias("name")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("name")  # distinct publisher names, far fewer than rows
+    # Names that go on another one share its first letters with it; shorter ones say nothing.
+    w = Window.partitionBy(F.substring("name", 1, 3)).orderBy("name")
     begun = names.withColumn("after", F.lead("name").over(w)).filter(F.col("after").startswith(F.col("name")) & (F.col("after") != F.col("name"))).select(F.col("name").alias("name_key"), F.lit(True).alias("begun"))
     rows = rows.withColumn("title_key", F.trim("canonical_title")).withColumn("name_key", F.trim("canonical_source_name"))
     rows = rows.join(broken, "title_key", "left").join(begun, "name_key", "left")
@@ -240,24 +262,70 @@ def judged(events: DataFrame, groups: DataFrame, articles: DataFrame | None = No
         "canonical_source_name": name_witnesses(F.col("canonical_source_name"), F.coalesce("begun", no)),
     }
     pattern = lambda f: sum((F.when(F.coalesce(c, no), 1 << i).otherwise(0) for i, c in enumerate(said[f])), F.lit(0))
-    rows = rows.select("group_no", "event_id", "tier", "created_at", *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), pattern(f).alias("pattern")).alias(f"s_{f}") for f in FIELDS])
-    return rows.select("group_no", "event_id", "tier", "created_at", F.inline(F.array(*[F.col(f"s_{f}") for f in FIELDS]))).filter("trim(value) != ''")
+    rows = rows.select("group_no", "event_id", "tier", "created_at", F.col("canonical_source_name").alias("publisher"), *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), pattern(f).alias("pattern")).alias(f"s_{f}") for f in FIELDS])
+    return rows.select("group_no", "event_id", "tier", "created_at", "publisher", F.inline(F.array(*[F.col(f"s_{f}") for f in FIELDS]))).filter("trim(value) != ''")
 
 
-def survivors(events: DataFrame, groups: DataFrame, articles: DataFrame | None = None, competitors: DataFrame | None = None) -> DataFrame:
-    """(group_no, field, event_id): for each group and field the row that supplies it, the usable value of the best tier, then the
-    latest.  One aggregation; no group is collected."""
+#: Rounds of EM over the publishers, and the prior counts of (claims, denials) of a publisher for true and for untrue values.
+ROUNDS, TRUE_PRIOR, UNTRUE_PRIOR = 2, (5.0, 5.0), (2.0, 8.0)
+
+_FACT = ["group_no", "field", "v"]
+_GROUP = ["group_no", "field"]
+
+
+def posteriors(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(group_no, field, v, p): how sure it is that a value is true; ``v`` is the 64-bit hash of the trimmed value within its group
+    and field.  ``rows``: as of ``judged``, written.
+    """
+    from ..context import cut
+
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("field", "pattern").count().collect():  # at most 2^WITNESSES rows a field
+        counts.setdefault(r.field, []).append((r["pattern"], r["count"]))
+    told = {(f, p): v for f, ps in counts.items() for p, v in fit(ps).items()}
+    odds = F.lit(-30.0)
+    if told:
+        odds = F.try_element_at(F.create_map(*[F.lit(x) for (f, p), v in told.items() for x in (f"{f}|{p}", float(np.clip(np.log(v / max(1 - v, 1e-13)), -30, 30)) if v > 0 else -30.0)]), F.concat_ws("|", "field", F.col("pattern").cast("string")))
+    publisher = F.lower(F.trim(F.coalesce("publisher", F.lit(""))))
+    claims = cut(rows.select(*_GROUP, F.xxhash64(F.trim("value")).alias("v"), odds.alias("odds"), F.xxhash64("field", publisher).alias("s")).groupBy(*_FACT, "s").agg(F.min("odds").alias("odds")))
+    sigmoid = lambda c: 1 / (1 + F.exp(-c))
+    facts = claims.groupBy(*_FACT).agg(F.min("odds").alias("odds")).withColumn("p", sigmoid(F.col("odds")))
+    cover = claims.select(*_GROUP, "s").distinct()
+    for _ in range(rounds):
+        p, q = F.sum("p"), F.sum(1 - F.col("p"))
+        groups = facts.groupBy(*_GROUP).agg(p.alias("t"), q.alias("u"))
+        all_ = cover.join(groups, _GROUP).groupBy("s").agg(F.sum("t").alias("t"), F.sum("u").alias("u"))
+        own = claims.select(*_FACT, "s").join(facts.select(*_FACT, "p"), _FACT).groupBy("s").agg(p.alias("ct"), q.alias("cu"))
+        sens = (F.col("ct") + TRUE_PRIOR[0]) / (F.col("t") + sum(TRUE_PRIOR))
+        slip = (F.col("cu") + UNTRUE_PRIOR[0]) / (F.col("u") + sum(UNTRUE_PRIOR))
+        denies = F.log((1 - sens) / (1 - slip))
+        quality = cut(all_.join(own, "s").select("s", denies.alias("denies"), (F.log(sens / slip) - denies).alias("claims")))
+        base = cover.join(quality, "s").groupBy(*_GROUP).agg(F.sum("denies").alias("base"), F.count("*").alias("n"))
+        said = claims.join(quality, "s").groupBy(*_FACT).agg(F.min("odds").alias("odds"), F.sum("claims").alias("said"))
+        facts = cut(said.join(base, _GROUP).select(*_FACT, "odds", sigmoid(F.col("odds") + (F.col("base") + F.col("said")) / F.col("n")).alias("p")))
+    return facts.select(*_FACT, "p")
+
+
+def _told(events: DataFrame, groups: DataFrame, articles: DataFrame | None, competitors: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(judged rows with ``v``, posteriors)."""
     from ..context import cut
 
     rows = cut(judged(events, groups, articles, competitors))
-    seen: dict[str, list[tuple[int, int]]] = {f: [] for f in FIELDS}
-    for r in rows.groupBy("field", "pattern").count().collect():
-        seen[r.field].append((r["pattern"], r["count"]))
-    every = (1 << WITNESSES) - 1
-    good = [(f, p) for f in FIELDS for p, v in fit(seen[f]).items() if v >= 0.5 and (p == every)]
-    if not good:
-        return rows.select("group_no", "field", "event_id").limit(0)
-    usable = F.struct("field", "pattern").isin(*[F.struct(F.lit(f), F.lit(p)) for f, p in good])
+    return rows.withColumn("v", F.xxhash64(F.trim("value"))), posteriors(rows)
+
+
+def true_values(events: DataFrame, groups: DataFrame, articles: DataFrame | None = None, competitors: DataFrame | None = None) -> DataFrame:
+    """(group_no, field, value, p, rows): every value of each group and field that is judged true; a field may keep several."""
+    rows, p = _told(events, groups, articles, competitors)
+    values = rows.groupBy(*_FACT).agg(F.min(F.trim("value")).alias("value"), F.count("*").alias("rows"))
+    return values.join(p.filter("p >= 0.5"), _FACT).select("group_no", "field", "value", F.round("p", 6).alias("p"), "rows")
+
+
+def survivors(events: DataFrame, groups: DataFrame, articles: DataFrame | None = None, competitors: DataFrame | None = None) -> DataFrame:
+    """(group_no, field, event_id): for each group and field the row that supplies it, of the values judged true the one of the best
+    tier, then the latest.  One aggregation by value and one by group; no group is collected."""
+    rows, p = _told(events, groups, articles, competitors)
     key = F.struct(F.coalesce("tier", F.lit(2**31 - 1)).alias("tier"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "event_id")
-    best = rows.filter(usable).groupBy("group_no", "field").agg(F.min(key).alias("best"))
+    # The best row of each value first: a hot group is reduced before it meets the posteriors.
+    best = rows.groupBy(*_FACT).agg(F.min(key).alias("best")).join(p.filter("p >= 0.5"), _FACT).groupBy(*_GROUP).agg(F.min("best").alias("best"))
     return best.select("group_no", "field", F.col("best.event_id").alias("event_id"))
