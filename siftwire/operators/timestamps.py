@@ -2,8 +2,9 @@
 
 Everything runs as Catalyst expressions: the notation is matched by one regular expression per
 family and rewritten to ``year|month|day|hour|minute|second|fraction|half|zone``, which is split
-once.  Where a text carries no zone, the zone of its source is used; sources without a declared
-zone get the one whose offset history puts the fewest of their texts after the time of ingestion.
+once.  Where a text carries no zone, it is read in the offset history of its source: for each source and period of 28 days, every
+candidate zone is charged for the wall clocks that it would set after their ingestion, for unlikely lags and for offsets that
+the source itself wrote; the cheapest path through the periods is the history.  A declared zone is where the search starts.
 
 Defined results: null, blank, impossible dates (30 February, hour 25) and notations without an
 instant give null; repeated rows give one row; a local time that occurs twice means the first one,
@@ -12,11 +13,14 @@ a skipped one is read with the offset before the change; extra columns are ignor
 
 from __future__ import annotations
 
+import math
 import zoneinfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..context import cut
+
 #: Names of the Gregorian months, January to December, by language.
 MONTHS = {
     "en": "january february march april may june july august september october november december",
@@ -138,26 +142,82 @@ def epoch_us(zone: str) -> Column:
     return F.coalesce("own_us", F.col("local_us") - F.col("offset_us"), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local_us"), named)))
 
 
-#: Candidate zones where a source declares none: the zones of the other sources and these.
+#: Candidate zones besides those that sources declare.
 DEFAULT_ZONES = ("UTC", "Europe/London", "Europe/Paris", "Europe/Istanbul", "Africa/Cairo", "Asia/Riyadh", "Asia/Tehran", "Asia/Dubai", "America/New_York", "America/Los_Angeles")
+#: Length of a period of a history.
+PERIOD_US = 28 * DAY_US
+#: Costs in nats: a wall clock after its ingestion or against a written offset; a change of zone; a zone other than the declared one.
+VIOLATION, CHANGE, UNDECLARED = 8.0, 20.0, 40.0
+#: Seconds that a clock may be ahead of ingestion; and the edges, in seconds, between which lags count as equally likely.
+SLACK_S = 300
+LAGS = (0, 300, 900, 1800, 3600, 7200, 10800, 14400, 21600, 28800, 43200, 86400, 172800, 604800)
 
 
-def estimate_zones(rows: DataFrame, candidates: list[str], slack_s: int = 300, lag_cap_s: int = 2 * 86400) -> DataFrame:
-    """(source_id, zone, violations, rows): the zone whose offset history sets the fewest wall clocks after their ingestion.
+def lag_costs(parsed: DataFrame) -> list[float]:
+    """Nats of a lag in each bin of LAGS (the last is open), learned from the texts that denote an instant by themselves.
 
-    ``rows``: source_id, local_us, seen_us of texts without a zone.  A wall clock more than ``slack_s`` after its ingestion
-    is a violation and costs ``lag_cap_s``; any other costs its lag, up to ``lag_cap_s``, so that neither rows collected late nor
-    the few wall clocks that a clock change skipped decide.  Ties go by violations, then name.  One partial aggregate per
-    source and task: a hot source costs no skew.
+    One count per bin; one more of each keeps unseen lags possible.
+    """
+    instant = F.coalesce("own_us", F.col("local_us") - F.col("offset_us"))
+    lag = (F.col("seen_us") - instant) / 1_000_000
+    bin_ = sum((F.when(lag >= e, 1).otherwise(0) for e in LAGS[1:]), F.lit(0))
+    got = {r.bin: r["count"] for r in parsed.filter(instant.isNotNull() & F.col("seen_us").isNotNull() & (lag >= -SLACK_S)).groupBy(bin_.alias("bin")).count().collect()}
+    widths = [b - a for a, b in zip(LAGS, (*LAGS[1:], 2 * LAGS[-1]))]
+    total = sum(got.values()) + len(LAGS)
+    # Per hour: what the tasks sum stays small.
+    return [-math.log((got.get(i, 0) + 1) / total / w * 3600) for i, w in enumerate(widths)]
+
+
+def offset_histories(parsed: DataFrame, candidates: list[str], costs: list[float]) -> DataFrame:
+    """(source_id, period, zone, violations, rows): the zone of each source in each period of its texts.
+
+    ``parsed``: source_id, declared, local_us, alt_us (the other reading of a slashed date), offset_us, seen_us.  Texts without a zone
+    are charged for their lag (``lag_costs``), VIOLATION if they come after their ingestion; offsets that a source wrote,
+    other than zero, cost VIOLATION where a zone has another one.  Bare dates tell nothing.  One partial aggregate per source, period
+    and task, so a hot source costs no skew; a source's path is found from one row per period.
     """
-    at = {z: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local_us"), z)) for z in candidates}
-    late = lambda z: F.sum((at[z] > F.col("seen_us") + slack_s * 1_000_000).cast("bigint"))
-    lag = lambda z: F.sum(F.least(F.greatest(F.col("seen_us") - at[z], F.lit(0)), F.lit(lag_cap_s * 1_000_000)) / 1_000_000)
-    scored = rows.filter("local_us is not null and seen_us is not null").groupBy("source_id").agg(
-        F.count("*").alias("rows"),
-        F.array_min(F.array(*[F.struct((late(z) * lag_cap_s + lag(z)).alias("cost"), late(z).alias("violations"), F.lit(z).alias("zone")) for z in candidates])).alias("best"),
+    lag_nats = F.array(*map(F.lit, costs))
+    written = F.col("offset_us").isNotNull()
+    told = F.when(written, F.col("offset_us") != 0).otherwise(F.col("seen_us").isNotNull() & (F.coalesce("local_us", "alt_us") % DAY_US != 0))
+
+    def charge(z: str) -> Column:
+        local = F.coalesce("alt_us", "local_us") if z.startswith("America/") else F.col("local_us")
+        at = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), z))
+        lag = (F.col("seen_us") - at) / 1_000_000
+        bin_ = sum((F.when(lag >= e, 1).otherwise(0) for e in LAGS[1:]), F.lit(0))
+        mute = F.when(at.isNull() | (lag < -SLACK_S), VIOLATION).otherwise(F.get(lag_nats, bin_))
+        return F.when(written, F.when(local - at == F.col("offset_us"), 0.0).otherwise(VIOLATION)).otherwise(mute)
+
+    rows = parsed.filter("source_id is not null and own_us is null and own_zone is null and coalesce(local_us, alt_us) is not null")
+    late = lambda z: F.coalesce(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.coalesce("alt_us", "local_us") if z.startswith("America/") else F.col("local_us")), z)) > F.col("seen_us") + SLACK_S * 1_000_000, F.lit(False))
+    sums = rows.groupBy("source_id", F.floor(F.coalesce("local_us", "alt_us") / PERIOD_US).alias("period")).agg(
+        F.min("declared").alias("declared"),
+        F.count_if(~written).alias("rows"),
+        F.array(*[F.coalesce(F.sum(F.when(told, charge(z))), F.lit(0.0)) for z in candidates]).alias("cost"),
+        F.array(*[F.count_if(told & ~written & late(z)) for z in candidates]).alias("late"),
     )
-    return scored.select("source_id", F.col("best.zone").alias("zone"), F.col("best.violations").alias("violations"), "rows")
+    kind = parsed.schema["source_id"].dataType.simpleString()
+
+    def path(pdf):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("period", ignore_index=True)
+        cost, late = np.stack(pdf.cost.to_list()), np.stack(pdf.late.to_list())
+        start = np.array([0.0 if z == pdf.declared[0] or pd.isna(pdf.declared[0]) else UNDECLARED for z in candidates])
+        best, back = start + cost[0], []
+        for c in cost[1:]:
+            low = int(best.argmin())
+            moved = best[low] + CHANGE < best
+            back.append(np.where(moved, low, np.arange(len(candidates))))
+            best = np.where(moved, best[low] + CHANGE, best) + c
+        at = [int(best.argmin())]
+        for b in reversed(back):
+            at.append(int(b[at[-1]]))
+        at.reverse()
+        return pd.DataFrame({"source_id": pdf.source_id, "period": pdf.period, "zone": [candidates[i] for i in at], "violations": late[np.arange(len(at)), at], "rows": pdf["rows"]})
+
+    return sums.groupBy("source_id").applyInPandas(path, f"source_id {kind}, period bigint, zone string, violations bigint, rows bigint")
 
 
 def candidate_zones(sources: DataFrame) -> list[str]:
@@ -166,27 +226,58 @@ def candidate_zones(sources: DataFrame) -> list[str]:
     return sorted(({r[0] for r in sources.select("time_zone").distinct().collect()} & known) | set(DEFAULT_ZONES))
 
 
-def with_zones(rows: DataFrame, sources: DataFrame, text: str, seen: str) -> DataFrame:
-    """``rows`` parsed, with ``zone``: declared for the source, else estimated, and UTC where source_id is null."""
+def readings(rows: DataFrame, text: str) -> DataFrame:
+    """``parse`` of rows with ``declared`` and ``seen_us``, written once, with ``alt_us``: where no zone is declared, the month-first
+    reading of a slashed date, which is day-first in ``local_us``."""
+    slashed = F.coalesce(F.col(text).rlike("^\\s*\\d{1,2}/\\d{1,2}/\\d{4}"), F.lit(False)) & F.col("declared").isNull()
+    plain_ = parse(rows.filter(~slashed), text, "declared", "seen_us").withColumn("alt_us", F.lit(None).cast("bigint"))
+    kept = [*plain_.columns]
+    open_ = parse(rows.filter(slashed), text, "declared", "seen_us").withColumn("_month_first", F.lit("America/"))
+    first, offset, own = open_.withColumnsRenamed({"local_us": "_day_first", "offset_us": "_first_offset", "own_zone": "_first_zone", "own_us": "_first_own"}), F.col("_first_offset"), F.col("_first_zone")
+    both = parse(first, text, "_month_first", "seen_us").withColumns({"alt_us": F.col("local_us"), "local_us": F.col("_day_first"), "offset_us": F.coalesce(offset, "offset_us"), "own_zone": F.coalesce(own, "own_zone")})
+    return cut(plain_.unionByName(both.select(*kept)).drop(text))
+
+
+def with_zones(rows: DataFrame, sources: DataFrame, text: str, seen: str, trust: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` parsed, with ``zone``; the histories): the zone of a row is the one of its source's history in its period, and UTC
+    where source_id is null.  Without ``trust``, declared zones are not looked at."""
     declared = sources.filter("id is not null").groupBy(F.col("id").alias("source_id")).agg(F.min("time_zone").alias("declared"))
-    rows = rows.withColumn("seen_us", F.unix_micros(F.col(seen).cast("timestamp"))).join(declared, "source_id", "left")
-    rows = parse(rows, text, "declared", "seen_us")
-    mute = rows.filter("declared is null and source_id is not null and own_zone is null and offset_us is null and own_us is null")
-    guess = estimate_zones(mute, candidate_zones(sources)).select("source_id", F.col("zone").alias("guessed"))
-    return rows.join(guess, "source_id", "left").withColumn("zone", F.coalesce("declared", "guessed", F.lit("UTC")))
+    rows = rows.withColumn("seen_us", F.unix_micros(F.col(seen).cast("timestamp"))).drop(seen)
+    rows = rows.join(declared, "source_id", "left") if trust else rows.withColumn("declared", F.lit(None).cast("string"))
+    rows = readings(rows, text)
+    candidates = candidate_zones(sources)
+    histories = cut(offset_histories(rows, candidates, lag_costs(rows)))
+    known = histories.select("source_id", "period", F.col("zone").alias("_told"))
+    rows = rows.withColumn("period", F.floor(F.coalesce("local_us", "alt_us") / PERIOD_US)).join(known, ["source_id", "period"], "left")
+    rows = rows.withColumn("zone", F.coalesce("_told", "declared", F.lit("UTC"))).drop("_told", "period")
+    american = F.col("zone").startswith("America/") & F.col("declared").isNull()
+    return rows.withColumn("local_us", F.when(american, F.coalesce("alt_us", "local_us")).otherwise(F.col("local_us"))), histories
 
 
 def normalise_timestamps(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """(article_id, epoch_us) of every article whose ``published_at`` denotes an instant in another notation than the standard one."""
+    """(article_id, epoch_us) of every article whose ``published_at`` denotes an instant in another notation than the standard one.
+
+    Zones come from the offset histories of the sources.  A declared zone is the history unless clocks contradict it by UNDECLARED nats.
+    """
     dirty = F.col("published_at").isNotNull() & ~F.col("published_at").rlike("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}Z$")
     rows = articles.filter(dirty & F.col("id").isNotNull()).select(F.col("id").alias("article_id"), "source_id", "published_at", "retrieved_at")
-    rows = with_zones(rows, sources, "published_at", "retrieved_at")
+    rows, _ = with_zones(rows, sources, "published_at", "retrieved_at")
     return rows.select("article_id", epoch_us("zone").alias("epoch_us")).filter("epoch_us is not null").dropDuplicates(["article_id"])
 
 
 def zone_report(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """How well ingestion times alone give each source's zone: (source_id, zone, declared, violations, rows)."""
+    """How well clocks alone give each source's zone: (source_id, zone, declared, same, changes, violations, rows).
+
+    Declared zones are not looked at, neither for zones nor for slashed dates.  ``zone`` holds most of the source's texts without a zone;
+    ``same``: it has the offset of the declared one in every period of the source's texts.
+    """
+    rows = articles.filter("published_at is not null and source_id is not null").select("source_id", "published_at", "retrieved_at")
+    _, h = with_zones(rows, sources, "published_at", "retrieved_at", trust=False)
     declared = sources.select(F.col("id").alias("source_id"), F.col("time_zone").alias("declared"))
-    rows = articles.filter("published_at is not null and source_id is not null").select("source_id", "published_at", F.unix_micros(F.col("retrieved_at").cast("timestamp")).alias("seen_us"))
-    rows = parse(rows.join(declared, "source_id", "left"), "published_at", "declared", "seen_us").filter("own_zone is null and offset_us is null and own_us is null")
-    return estimate_zones(rows, candidate_zones(sources)).join(declared, "source_id", "left").select("source_id", "zone", "declared", "violations", "rows")
+    noon = F.timestamp_micros(F.col("period") * PERIOD_US + PERIOD_US // 2)
+    at = lambda z: F.unix_micros(F.to_utc_timestamp(noon, F.coalesce(z, F.lit("UTC"))))
+    w = Window.partitionBy("source_id").orderBy("period")  # one row per period
+    h = h.join(declared, "source_id", "left").withColumn("moved", F.col("zone") != F.lag("zone").over(w)).withColumn("equal", at(F.col("zone")) == at(F.col("declared")))
+    most = h.groupBy("source_id", "zone").agg(F.sum("rows").alias("n")).groupBy("source_id").agg(F.max(F.struct("n", "zone"))["zone"].alias("zone"))
+    told = h.groupBy("source_id").agg(F.first("declared").alias("declared"), F.bool_and("equal").alias("same"), F.count_if("moved").alias("changes"), F.sum("violations").alias("violations"), F.sum("rows").alias("rows"))
+    return told.join(most, "source_id").select("source_id", "zone", "declared", "same", "changes", "violations", "rows")

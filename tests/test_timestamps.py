@@ -62,3 +62,47 @@ def test_session_zone_does_not_matter(spark, zone):
         assert run(spark, [(1, "2024-07-22 09:14:32"), (1, "2 hours ago")]) == ["2024-07-22T06:14:32", "2025-01-10T10:00:00"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _texts(source, zone, days, style="%Y-%m-%d %H:%M:%S"):
+    """(source, text, retrieved) of a source that writes in a zone and is read some minutes later."""
+    from datetime import timedelta
+    from zoneinfo import ZoneInfo
+
+    out = []
+    for i, d in enumerate(days):
+        at = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(days=d, hours=7 * i % 24, minutes=11 * i % 60)
+        out.append((source, at.astimezone(ZoneInfo(zone)).strftime(style), at + timedelta(minutes=5 + 7 * i % 40), at))
+    return out
+
+
+def _normalised(spark, rows, sources):
+    a = spark.createDataFrame([(str(i), s, t, r) for i, (s, t, r, _) in enumerate(rows)], "id string, source_id int, published_at string, retrieved_at timestamp")
+    s = spark.createDataFrame(sources, "id int, time_zone string")
+    return {int(r.article_id): r.epoch_us for r in timestamps.normalise_timestamps(a, s).collect()}, timestamps.zone_report(a, s)
+
+
+def test_a_source_that_moves_has_a_history(spark):
+    rows = _texts(9, "America/New_York", range(0, 250, 2)) + _texts(9, "Europe/Paris", range(280, 500, 2)) + _texts(1, "UTC", range(0, 400, 9), "%Y-%m-%dT%H:%M:%S.000Z")
+    got, report = _normalised(spark, rows, [(9, None), (1, "Europe/Paris")])
+    wrong = [t for i, (_, t, _, at) in enumerate(rows) if abs(got[i] - at.timestamp() * 1e6) > 1e6]
+    assert wrong == []
+    assert {(r.source_id, r.zone, r.changes) for r in report.collect()} >= {(9, "America/New_York", 1)}
+
+
+def test_slashed_dates_of_an_undeclared_source(spark):
+    rows = _texts(9, "America/New_York", range(0, 300, 2), "%m/%d/%Y %H:%M:%S") + _texts(8, "Africa/Cairo", range(0, 300, 2), "%d/%m/%Y %H:%M:%S")
+    got, _ = _normalised(spark, rows, [(9, None), (8, None), (1, "Africa/Cairo"), (2, None)])
+    assert [t for i, (_, t, _, at) in enumerate(rows) if abs(got[i] - at.timestamp() * 1e6) > 1e6] == []
+
+
+def test_declared_zone_stands_unless_clocks_contradict_it(spark):
+    few = _texts(1, "Asia/Dubai", range(3))
+    got, _ = _normalised(spark, few, [(1, "Africa/Cairo")])
+    assert all(got[i] - r[3].timestamp() * 1e6 in (7.2e9, 3.6e9) for i, r in enumerate(few))
+
+
+def test_written_offsets_tell_the_zone(spark):
+    rows = _texts(9, "Asia/Tehran", range(0, 90, 3), "%Y-%m-%dT%H:%M:%S%z") + [(9, "2024-02-10 10:00:00", datetime(2024, 2, 12, tzinfo=timezone.utc), datetime(2024, 2, 10, 6, 30, tzinfo=timezone.utc))]
+    got, _ = _normalised(spark, rows, [(9, None)])
+    assert got[len(rows) - 1] == rows[-1][3].timestamp() * 1e6
