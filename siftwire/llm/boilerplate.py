@@ -7,12 +7,12 @@ and count as one neighbour, whose shared lines are shared lines of all copies.
 
 A key that some alignment shares is a candidate wherever it stands.  A story also shares lines with its neighbours (subheads, stock
 sentences), so the corpus confirms or vetoes each candidate: how often its key is shared, how often it stands in furniture markup
-(link lists, footers, blocks outside the story's container) against story markup, and whether it is a subhead.  These counts cover
+(link lists, blocks outside the story's container) against story markup, and whether it is a subhead.  These counts cover
 all pages and are summed per task before they are shuffled.
 
-Lines that no alignment shares (lists of other stories) are furniture by other rules only: the page's own markup says so, or, on
-plain pages, the line has neither an end mark nor a full sentence and is a menu, recurs on at least RECURS pages, or stands in an
-unbroken run of such lines beside a line that is sure.  Any other unshared line belongs to the story.
+Lines that no alignment shares (lists of other stories) are furniture only beside the shared ones: where the page's own markup sets
+them apart, or, on plain pages, where a line has neither an end mark nor a full sentence and stands in an unbroken run of such
+lines beside a candidate that was confirmed.  Any other unshared line belongs to the story.
 
 Defined results: null, blank and markup-only lines are no furniture; a page of one single text line has none; pages without a URL
 are aligned with one another; repeated rows give one row per line; texts of any length are read whole.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .encoding import SUSPECT, repair
 from .lookalike import fold
 
 #: Flags of a line.  MARKED: the page has markup; INSIDE: in the story's container, or no container is known.
-TERMINAL, MARKED, INSIDE, CLASSED, LINKED, HEAD, SHORT, BETWEEN, SCRIPT, ALONE, SHARED, SENTENCE, MENU = (1 << i for i in range(13))
+TERMINAL, MARKED, INSIDE, LINKED, HEAD, SHORT, BETWEEN, SCRIPT, ALONE, SHARED, SENTENCE = (1 << i for i in range(11))
 
 _SUSPECT_RE = re.compile(SUSPECT)
 _TAG = re.compile(r"<[^<>]*>")
@@ -42,14 +43,13 @@ _HTML = re.compile(r"<(?:p|div|html|body|article|main|h[1-6]|ul|li|section)\b",
 _SCRIPT = re.compile(r"<(script|style)\b.*?(?:</\1>|$)", re.I)
 _OPEN = re.compile(r"<(div|article|main|section|aside|ul|ol|nav|footer|header|table)\b[^<>]*>", re.I)
 _CLOSE = re.compile(r"</(div|article|main|section|aside|ul|ol|nav|footer|header|table)\s*>", re.I)
-_OWN_CLASS = re.compile(r"^\s*<(?:p|div|footer|span|aside|section|header|ul|li|nav)\b[^<>]*\b(?:class|id|role)\s*=", re.I)
-_NEVER = re.compile(r"^\s*<(?:footer|aside|nav|li|form|button|figure)\b", re.I)
+#: Elements that HTML itself sets apart from the main content.  Classes, ids and roles decide nothing: stories have them as well.
+_APART = re.compile(r"^\s*<(?:footer|aside|nav|form|button)\b", re.I)
 _LINK = re.compile(r"<a\b[^<>]*>.*?</a>", re.I | re.S)
 _H2 = re.compile(r"<h[12]\b", re.I)
 _ODD = re.compile("[ ­؜​-‏ - ‪- ⁠　ﬀ-﻿＀-￯Ͱ-ԯ]")
 _END = re.compile(r"[.!?؟…。»”\"’)]$|\.[\"”»’)]$")
 _MARK = re.compile("(\\d\\s)?([^\\W\\d_]*|[\\d%٪]+)[\"”»’')\\]]*(。|[.!?؟…]+[\"”»’')\\]�]*(?=\\s|$))")
-_ITEMS = re.compile(r"\s+[|/·•]\s+|\s{2,}")
 _DIGITS = re.compile(r"[0-9٠-٩۰-۹]+")
 
 
@@ -75,26 +75,29 @@ def has_sentence(text: str) -> bool:
     return False
 
 
-def _container(lines: list[str]) -> tuple[list[int], int]:
-    """(block of each line, block of the story): the innermost block that each line stands in, and the one with the most prose."""
-    stack, blocks, prose, number = [0], [], {0: 0}, 0
+def _container(lines: list[str]) -> list[bool]:
+    """Whether each line stands in the story's block: the innermost block with the most prose, and the lists right within it."""
+    stack, blocks, prose = [0], [], [0]
+    within, listed = [0], [False]  # the block around each block, and whether it is a list
     for raw in lines:
-        opens, closes = len(_OPEN.findall(raw)), len(_CLOSE.findall(raw))
+        opens, closes = _OPEN.findall(raw), len(_CLOSE.findall(raw))
         text = len(_TAG.sub("", _LINK.sub("", raw)).strip())
-        if not text and opens > closes:
-            for _ in range(opens - closes):
-                number += 1
-                stack.append(number)
-                prose[number] = 0
+        if not text and len(opens) > closes:
+            for tag in opens[closes:]:
+                within.append(stack[-1])
+                listed.append(tag.lower() in ("ul", "ol", "table"))
+                stack.append(len(prose))
+                prose.append(0)
             blocks.append(stack[-1])
             continue
         blocks.append(stack[-1])
         if text > 40:
             prose[stack[-1]] += text
-        for _ in range(max(0, closes - opens)):
+        for _ in range(max(0, closes - len(opens))):
             if len(stack) > 1:
                 stack.pop()
-    return blocks, max(prose, key=lambda b: (prose[b], -b))
+    story = max(range(len(prose)), key=lambda b: (prose[b], -b))
+    return [b == story or listed[b] and within[b] == story for b in blocks]
 
 
 def text_lines(content: str) -> list[tuple[int, str, int]]:
@@ -106,7 +109,7 @@ def text_lines(content: str) -> list[tuple[int, str, int]]:
     lines = content.split("\n")
     marked = bool(_HTML.search(content))
     if marked:
-        blocks, story = _container(lines)
+        inside = _container(lines)
     out = []
     for i, raw in enumerate(lines):
         flags = 0
@@ -117,10 +120,8 @@ def text_lines(content: str) -> list[tuple[int, str, int]]:
             if not text and bare != raw and re.sub(r"</?(?:script|style)[^<>]*>", "", raw).strip():
                 out.append((i + 1, "", flags | SCRIPT))
                 continue
-            if blocks[i] == story:
+            if inside[i] and not _APART.search(raw):
                 flags |= INSIDE
-            if _OWN_CLASS.search(raw) or _NEVER.search(raw):
-                flags |= CLASSED
             if text and _LINK.search(bare) and not unescape(_TAG.sub(" ", _LINK.sub(" ", bare))).strip(" |/>·•-\t"):
                 flags |= LINKED
             if _H2.search(raw):
@@ -134,9 +135,6 @@ def text_lines(content: str) -> list[tuple[int, str, int]]:
             flags |= TERMINAL
         if has_sentence(text):
             flags |= SENTENCE
-        items = _ITEMS.split(text)
-        if len(items) > 2 and all(0 < len(x.split()) <= 3 for x in items):
-            flags |= MENU
         if len(text) <= 60 and len(text.split()) <= 6:
             flags |= SHORT
         out.append((i + 1, text, flags))
@@ -153,30 +151,68 @@ def read_lines(content: str) -> list[tuple[int, int, int]]:
     return [(i, line_key(t) if t else 0, f) for i, t, f in text_lines(content)]
 
 
+#: Bits of the table of one alignment, at most; longer pages are aligned in halves.
+TABLE = 1 << 27
+
+
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions of a longest common subsequence in both lists."""
-    both = set(a) & set(b)
-    if not both:
-        return [], []
-    ia, ib = [i for i, x in enumerate(a) if x in both], [i for i, x in enumerate(b) if x in both]
-    n, m = len(ia), len(ib)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, x = best[i], best[i + 1], a[ia[i]]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[ib[j]] else max(below[j], row[j + 1])
-    i = j = 0
-    out_a, out_b = [], []
-    while i < n and j < m:
-        if a[ia[i]] == b[ib[j]]:
-            out_a.append(ia[i])
-            out_b.append(ib[j])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out_a, out_b
+    """Positions of a longest common subsequence in both lists.
+
+    Common ends are cut off, lines of one side alone left out, and the rest is aligned bit-parallel: a page of n lines costs n steps
+    on integers of m bits, and the path is read off the kept rows.
+    """
+    n, m, lead = len(a), len(b), 0
+    while lead < n and lead < m and a[lead] == b[lead]:
+        lead += 1
+    while n > lead and m > lead and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    both = set(a[lead:n]) & set(b[lead:m])
+    at_a, at_b = list(range(lead)), list(range(lead))
+    if both:
+        ia, ib = [i for i in range(lead, n) if a[i] in both], [i for i in range(lead, m) if b[i] in both]
+        for x, y in _aligned([a[i] for i in ia], [b[i] for i in ib]):
+            at_a.append(ia[x])
+            at_b.append(ib[y])
+    return at_a + list(range(n, len(a))), at_b + list(range(m, len(b)))
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each item of ``a``: bit j is 0 where item j of ``b`` makes the longest common subsequence longer."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE:
+        half = len(a) // 2
+        for up in _rows(a[:half], b):
+            pass
+        for down in _rows(a[:half - 1:-1], b[::-1]):
+            pass
+        # Length of the first half with b[:j] and of the second with b[j:], for every j.
+        grown = lambda v: np.concatenate([[0], np.cumsum(1 - np.unpackbits(np.frombuffer(v.to_bytes((len(b) + 7) // 8, "little"), np.uint8), count=len(b), bitorder="little").astype(np.int64))])
+        cut_ = int((grown(up) + grown(down)[::-1]).argmax())
+        return _aligned(a[:half], b[:cut_]) + [(x + half, y + cut_) for x, y in _aligned(a[half:], b[cut_:])]
+    kept = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if kept[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if i and not kept[i - 1] >> (j - 1) & 1:
+            continue
+        j -= 1
+        out.append((i, j))
+    return out[::-1]
 
 
 #: How many neighbouring stories along the URL path a page is aligned with; all copies of a story are one.
@@ -210,7 +246,7 @@ def difference(paged: DataFrame) -> DataFrame:
     ordered = paged.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: list[tuple] = []  # (host, keys, flags, shared keys, copies of this batch) of the last stories
+        near: list[list] = []  # [host, keys, flags, shared keys, copies of this batch] of the last stories
 
         for b in batches:
             hosts, keys, flags = b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()
@@ -232,15 +268,16 @@ def difference(paged: DataFrame) -> DataFrame:
                         entry[2][i] |= SHARED
                         entry[3].add(entry[1][i])
                 if story is None:
-                    near = [*near[1 - NEAREST :], (h, k, f, shared, [])]
-                else:
+                    near = [*near[1 - NEAREST :], [h, k, f, shared, []]]
+                else:  # the nearest copy stands for the story: another template has other furniture
                     if not story[4]:
                         copied.append(story)
-                    story[4].append((k, f))
+                    story[4].append((story[1], story[2]))
+                    story[1], story[2] = k, f
                     story[3].update(shared)
                     near = [*[x for x in near if x is not story], story]
             for story in copied:
-                for k, f in [story[1:3], *story[4]]:
+                for k, f in [(story[1], story[2]), *story[4]]:
                     for i, x in enumerate(k):
                         if x in story[3]:
                             f[i] |= SHARED
@@ -250,8 +287,8 @@ def difference(paged: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, _PAGE.format(kind=kind))
 
 
-#: Pages that a line without an end mark stands on, at least, if that alone makes it furniture.
-RECURS = 4
+#: Keys that a share of the lines above 1 / HOT has, of which there are at most HOT, meet their counts without a shuffle.
+HOT = 10_000
 
 
 def _has(flag: int) -> Column:
@@ -262,9 +299,10 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
     """(article_id, line_no): the lines of each page that have text, none of which belongs to the story."""
     lines = difference(cut(pages(articles, key, url, content))).select("id", F.inline(F.arrays_zip("line", "key", "flags")))
     lines = cut(lines.dropDuplicates(["id", "line"]))
-    outer = _has(MARKED) & (_has(CLASSED) | _has(LINKED) | ~_has(INSIDE))
+    scripts, told = lines.filter(_has(SCRIPT)), lines.filter(~_has(SCRIPT))
+    outer = _has(MARKED) & (_has(LINKED) | ~_has(INSIDE))
     n = lambda c: F.sum(c.cast("bigint"))
-    known = lines.filter(~_has(SCRIPT)).groupBy("key").agg(
+    known = told.groupBy("key").agg(
         F.count("*").alias("n"),
         n(outer).alias("in_furniture"),
         n(_has(MARKED) & ~outer & ~_has(HEAD)).alias("in_story"),
@@ -272,7 +310,12 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
         n(_has(SHARED)).alias("shared"),
         n(_has(SHORT) & _has(BETWEEN) & ~_has(TERMINAL)).alias("between"),
     ).filter("n > 1")
-    j = lines.join(known, "key", "left")
+    known = cut(known)
+    # What recurs is hot by nature.  No more than HOT keys can have that share of all lines: their counts are broadcast, and only the
+    # lines of rarer keys are shuffled.
+    often = F.col("n") > max(1, lines.count() // HOT)
+    hot = F.broadcast(known.filter(often))
+    j = told.join(hot, "key").unionByName(told.join(hot.select("key"), "key", "left_anti").join(known.filter(~often), "key", "left"), allowMissingColumns=True)
     marks = F.coalesce(F.col("in_furniture") + F.col("in_story"), F.lit(0))
     usual = F.coalesce(F.col("in_furniture") / F.greatest(marks, F.lit(1)), F.lit(0.0))
     head = F.coalesce(F.col("as_head"), F.lit(0)) > F.coalesce(F.col("in_furniture"), F.lit(0))
@@ -281,8 +324,7 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
     candidate = F.coalesce(F.col("shared"), F.lit(0)) > 0
     stock = F.when(marks >= 3, usual >= 0.15).otherwise(F.when(_has(TERMINAL), (shared >= 0.5) & (F.col("n") >= 4) & (usual >= 0.15) | (marks == 0) & (shared >= 0.6) & (F.col("n") >= 4)).otherwise(True))
     furniture = (
-        F.when(_has(SCRIPT), True)
-        .when(_has(ALONE), False)
+        F.when(_has(ALONE), False)
         .when(_has(HEAD) & _has(INSIDE) | head, False)
         .when(outer, True)
         .when(_has(MARKED) & ~_has(TERMINAL) & ~_has(SHORT) & (marks < 3), False)
@@ -290,7 +332,6 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
         .otherwise(candidate & stock)
     )
     open_ = ~_has(MARKED) & ~_has(ALONE) & ~candidate & ~head & ~subhead & ~_has(TERMINAL) & ~_has(SENTENCE) & ((marks < 3) | (usual >= 0.15))
-    furniture = furniture | open_ & (_has(MENU) | (F.coalesce(F.col("n"), F.lit(1)) >= RECURS))
     listed = open_ & ~furniture
     j = j.select("id", "line", _has(MARKED).alias("marked"), F.coalesce(furniture, F.lit(False)).alias("furniture"), F.coalesce(listed, F.lit(False)).alias("listed"))
     # Of plain pages, the nearest line before and after that is not itself in question; each frame ends at the row, so a page costs linear time.
@@ -298,4 +339,4 @@ def furniture_lines(articles: DataFrame, key: str = "id", url: str = "url", cont
     sure = F.when(~F.col("listed"), F.col("furniture"))
     beside = [F.coalesce(F.last(sure, ignorenulls=True).over(w(o)), F.lit(False)) for o in (F.col("line").asc(), F.col("line").desc())]
     plain = j.filter("not marked").withColumn("before", beside[0]).withColumn("after", beside[1]).filter("furniture or listed and (before or after)")
-    return j.filter("marked and furniture").select("id", "line").unionByName(plain.select("id", "line")).select(F.col("id").alias("article_id"), F.col("line").cast("bigint").alias("line_no"))
+    return j.filter("marked and furniture").select("id", "line").unionByName(plain.select("id", "line")).unionByName(scripts.select("id", "line")).select(F.col("id").alias("article_id"), F.col("line").cast("bigint").alias("line_no"))

@@ -3,12 +3,13 @@
 One byte context tree per language, of variable order within a word, holds frozen counts; the exact code length of a word is the sum
 over its bytes of the escape from the longest known context and of the byte in the context that knows it (method C, order -1 is
 uniform).  Contexts do not reach over the edge of a word, so the code length of a line is the sum over its words, and each worker
-remembers those of recurring words.  What one word can weigh is bounded, so foreign names and short quotations do not turn a line.
+remembers those of recurring words.  Code lengths are exact, whatever a word weighs; so that foreign names and short quotations do not
+turn a line, most of its words must be shorter in the other language as well.
 
 The trees are fitted on a bounded sample of labelled rows: the SAMPLE articles of each language with the smallest hash of their
 id.  As labels are partly wrong, the trees are fitted twice, the second time on the articles and lines that the first trees confirm.
 
-Defined results: null and blank contents, and texts without letters, have no language; repeated rows give one row; contents of any
+Defined results: null and blank contents, texts without letters and texts that have lost most of them have no language; repeated rows give one row; contents of any
 length are read whole; labels of unknown languages are wrong if the text is of a known one.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boilerplate import ALONE, CLASSED, LINKED, SCRIPT, TERMINAL, text_lines
+from .boilerplate import ALONE, INSIDE, LINKED, SCRIPT, TERMINAL, text_lines
 
 LANGUAGES = ("ar", "de", "en", "fa", "fr", "tr")
 #: Notations of language labels beside the ISO 639-1 code, by language.
@@ -37,10 +38,12 @@ NOTATIONS = {
 }
 #: Articles of each language that the trees are fitted on, at most.
 SAMPLE = 300
-#: Bytes of context, at most; and bits that one word can weigh against a language, at most.
-ORDER, CAP = 5, 14.0
+#: Bytes of context, at most.
+ORDER = 5
 #: Bits per word, and for a line in all, by which another language must be shorter than the article's for a line to be in it.
 MARGIN, LEAST = 4.0, 24.0
+#: Share of a line's words that must be shorter in another language, by a bit at least, for the line to be in it.
+MOST = 0.5
 _REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -56,6 +59,12 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def damaged(text: str) -> bool:
+    """Whether a text holds more lost letters (question marks, replacement characters) than letters: its language cannot be told."""
+    lost = text.count("?") + text.count("\ufffd")
+    return lost >= 8 and lost > sum(map(str.isalpha, text))
+
+
 class Tree:
     """Byte contexts of one language with their counts, frozen after fitting."""
 
@@ -107,20 +116,20 @@ class Scorer:
     def word(self, w: str) -> np.ndarray:
         v = self._known.get(w)
         if v is None:
-            b = w.encode("utf-8", "surrogatepass")[:64]
+            b = w.encode("utf-8", "surrogatepass")
             bits = np.array([code_length(t, b) for t in self._trees])
-            v = np.minimum(bits - bits.min(), CAP)
+            v = bits - bits.min()
             if len(self._known) >= _REMEMBERED:
                 self._known.clear()
             self._known[w] = v
         return v
 
-    def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(bits by line and language above the best of each word, words by line)."""
+    def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits by line and language above the best of each word, words by line, the same bits by word)."""
         parts = [words(t) for t in texts]
         n = np.array([len(p) for p in parts], np.int64)
         flat = [w for p in parts for w in p]
-        out = np.zeros((len(texts), len(self.names)))
+        out, per = np.zeros((len(texts), len(self.names))), np.zeros((0, len(self.names)))
         if flat:
             coded = pa.array(flat, pa.string()).dictionary_encode()
             costs = np.stack([self.word(w) for w in coded.dictionary.to_pylist()])
@@ -128,7 +137,7 @@ class Scorer:
             some = np.flatnonzero(n)
             starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
             out[some] = np.add.reduceat(per, starts, axis=0)
-        return out, n
+        return out, n, per
 
 
 def _posterior(bits: np.ndarray) -> np.ndarray:
@@ -144,12 +153,12 @@ def fit(articles: DataFrame, key: str = "id", label: str = "language", content:
     got = articles.select(F.col(key).alias("key"), F.col(content).alias("content")).join(F.broadcast(first), "key").select("key", "said", "content").collect()
     told: dict[tuple[str, str], list[str]] = {}
     for r in sorted(got, key=lambda r: (r.said, r.key)):
-        told[r.said, r.key] = [t for _, t, f in text_lines(r.content) if f & TERMINAL and not f & (CLASSED | LINKED | SCRIPT)]
+        told[r.said, r.key] = [t for _, t, f in text_lines(r.content) if f & TERMINAL and f & INSIDE and not f & (LINKED | SCRIPT)]
     trees = _grow({(said, t): None for (said, _), ts in told.items() for t in ts})
     scorer = Scorer(trees)
     right: dict[tuple[str, str], None] = {}
     for (said, _), ts in told.items():
-        bits, n = scorer.lines(ts)
+        bits, n, _ = scorer.lines(ts)
         if n.sum() and scorer.names[bits.sum(axis=0).argmin()] == said:
             own = bits[:, scorer.names.index(said)]
             right |= {(said, t): None for t, b, best, m in zip(ts, own, bits.min(axis=1), n) if b - best < MARGIN / 2 * m}
@@ -164,7 +173,7 @@ def _grow(lines: dict[tuple[str, str], None]) -> dict[str, dict]:
         for w in words(t):
             counted[said, w] = counted.get((said, w), 0) + 1
     for (said, w), n in counted.items():
-        trees[said].add(w.encode("utf-8", "surrogatepass")[:64], min(n, 50))
+        trees[said].add(w.encode("utf-8", "surrogatepass"), n)
     return {n: t.freeze() for n, t in trees.items() if t.counts} or {"und": {}}
 
 
@@ -184,17 +193,19 @@ def segments(articles: DataFrame, key: str = "id", label: str = "language", cont
         for b in batches:
             at, no, flags, texts = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
+                if damaged(t):
+                    continue
                 for n, text, f in text_lines(t):
                     if text:
                         at.append(i)
                         no.append(n)
                         flags.append(f)
                         texts.append(text)
-            bits, n_words = scorer.lines(texts)
+            bits, n_words, per = scorer.lines(texts)
             at, no, flags = np.array(at, np.int64), np.array(no, np.int64), np.array(flags, np.int64)
             post = _posterior(bits) if len(texts) else bits
             best = bits.argmin(axis=1) if len(texts) else np.zeros(0, np.int64)
-            story = ((flags & TERMINAL) != 0) & ((flags & (CLASSED | LINKED | SCRIPT)) == 0)
+            story = ((flags & TERMINAL) != 0) & ((flags & INSIDE) != 0) & ((flags & (LINKED | SCRIPT)) == 0)
             # The story's lines decide; an article without any is judged by all its lines.
             told = np.bincount(at[story & (n_words > 0)], minlength=b.num_rows) > 0
             counts = np.where(story | ~told[at], n_words, 0) if len(at) else n_words
@@ -206,7 +217,10 @@ def segments(articles: DataFrame, key: str = "id", label: str = "language", cont
             main = weight.argmax(axis=1)
             own = np.flatnonzero(total > 0)
             lead = bits[np.arange(len(at)), main[at]] - bits.min(axis=1) if len(at) else n_words
-            other = np.flatnonzero(story & (n_words >= 3) & (lead >= LEAST) & (lead >= MARGIN * n_words) & ((flags & ALONE) == 0))
+            # Words of each line that the best language has shorter than the article's.
+            line = np.repeat(np.arange(len(n_words)), n_words)
+            votes = np.bincount(line[per[np.arange(len(line)), best[line]] + 1 <= per[np.arange(len(line)), main[at[line]]]], minlength=len(n_words)) if len(line) else n_words
+            other = np.flatnonzero(story & (n_words >= 3) & (lead >= LEAST) & (lead >= MARGIN * n_words) & (votes >= MOST * n_words) & ((flags & ALONE) == 0))
             index = np.concatenate([own, at[other]]).astype(np.int64)
             lang = np.concatenate([names[main[own]], names[best[other]]])
             sure = np.concatenate([belief[own, main[own]] / total[own], post[other, best[other]] if len(other) else np.zeros(0)])

@@ -94,3 +94,57 @@ def test_a_run_of_copies_does_not_hide_the_pages_around_it(spark):
     df = spark.createDataFrame(rows, "id string, url string, content string")
     got = {r.id: {n for n, f in zip(r.line, r["flags"]) if f & boilerplate.SHARED} for r in boilerplate.difference(boilerplate.pages(df)).collect()}
     assert all({1, 2, 3, 9} <= got[r[0]] for r in rows) and len({frozenset(got[f"c{i}"]) for i in range(10)}) == 1
+
+
+def test_stories_in_classed_paragraphs_and_lists_are_kept(spark):
+    rows = []
+    for i, (_, url, content, _) in enumerate(pages(60, marked=True)):
+        lines = content.split("\n")
+        lines[2:5] = [x.replace("<p>", '<p class="story-text" id="par">') for x in lines[2:5]]
+        item = f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        lines[7:7] = ["<ul>", f"<li>Branch {item} opens in the old town with a desk for loans.</li>", f"<li>Branch {item} sells no cards before the end of June.</li>", "</ul>"]
+        rows.append((f"m{i}", url, "\n".join(lines), {1, 13, 14}))
+    assert {k: v for k, v in run(spark, rows).items() if v != {1, 13, 14}} == {}
+
+
+def test_differencing_decides(spark, monkeypatch):
+    rows = pages()
+    assert run(spark, rows) == {r[0]: r[3] for r in rows}
+    monkeypatch.setattr(boilerplate, "difference", lambda paged: paged)
+    assert run(spark, rows) == {}
+
+
+def _plain_lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, best[j + 1] = best[j + 1], last + 1 if x == y else max(best[j + 1], best[j])
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed, kinds, table", [(1, 3, 1 << 27), (2, 40, 1 << 27), (3, 3, 50), (4, 40, 500), (5, 400, 1)])
+def test_alignment_in_halves(seed, kinds, table, monkeypatch):
+    monkeypatch.setattr(boilerplate, "TABLE", table)
+    r = random.Random(seed)
+    a, b = [[r.randrange(kinds) for _ in range(n)] for n in (120, 90)]
+    x, y = boilerplate.common_lines(a, b)
+    assert x == sorted(set(x)) and y == sorted(set(y))
+    assert [a[i] for i in x] == [b[i] for i in y] and len(x) == _plain_lcs(a, b)
+
+
+def test_long_pages_align_quickly():
+    import time
+
+    r = random.Random(1)
+    a, b = [[r.randrange(50) for _ in range(20_000)] for _ in range(2)]
+    start = time.time()
+    assert len(boilerplate.common_lines(a, b)[0]) > 3000
+    assert time.time() - start < 20
+
+
+def test_scripts_and_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "HOT", 3)
+    rows = [(f"p{i}", *p[1:]) for i, p in enumerate(pages())] + [(f"m{i}", *p[1:]) for i, p in enumerate(pages(marked=True))]
+    got = run(spark, rows)
+    assert {r[0]: got.get(r[0], set()) for r in rows} == {r[0]: r[3] for r in rows}

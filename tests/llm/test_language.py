@@ -73,3 +73,17 @@ def test_code_lengths_are_probabilities():
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("EN", "en_GB", "English", "عربي", "xx", "", None, "fr-FR")], "l string")
     assert [r[0] for r in df.select(language.label_language(F.col("l"))).collect()] == ["en", "en", "en", "ar", None, None, None, "fr"]
+
+
+def test_words_are_read_whole_and_weigh_exactly():
+    tree = language.Tree()
+    tree.add(b"abc" * 50, 70)
+    frozen = tree.freeze()
+    scorer = language.Scorer({"en": frozen, "de": language.Tree().freeze()})
+    word = "abc" * 50
+    exact = [language.code_length(frozen, word.encode()), language.code_length({}, word.encode())]
+    assert scorer.word(word).tolist() == [0.0, exact[1] - exact[0]] and exact[1] == 8 * 151
+
+
+def test_texts_of_lost_letters_have_no_language():
+    assert language.damaged("???? ??????? Matanin Credit ?? ??????? ??? ???????") and not language.damaged("Why? Who knows?") and not language.damaged("")
