@@ -4,7 +4,10 @@ Suffix blocking: every token of a name is indexed by its suffixes of at least MI
 that one slip anywhere leaves a common suffix; suffixes shared by more than COMMON entries are kept only together with the initial
 of another field (the brand, the given name).  Mentions are made distinct first; those that share a key with an entry are compared
 with it by longest-common-subsequence ratios, field by field: brand and line of business of an organisation, given name and
-surname of a person.  A mention that fits several entries equally well is linked to none.
+surname of a person.  A mention that fits several entries equally well is linked to none, unless they are one entity.
+
+Short and pet forms of given names are an optional dimension (``nicknames``, by default NICKNAMES); without it, only forms that
+are written or sound alike are linked.
 
 Defined results: null and blank mentions and entries are no names; repeated rows and elements give one row; names of any length are
 compared whole; an empty register links nothing.
@@ -22,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..context import cut
 from .lookalike import fold
 
 MIN_SUFFIX, COMMON = 3, 8
 #: Ratios from which fields are taken for the same.
 SAME_BRAND, SAME_WORD, SAME_SURNAME, SAME_GIVEN = 0.75, 0.8, 0.78, 0.74
+#: Scores this close to the best are as good.
+NEAR = 0.015
 #: Words that say nothing about which organisation is meant.
 GENERIC = set("the al el co company grp group egypt llc sae inc ltd plc corp jsc شركه مجموعه ش م".split())
 #: Forms of address.
@@ -92,12 +98,12 @@ def tokens(name: str) -> tuple[str, ...]:
     return tuple(re.findall(r"\w+", t))
 
 
-def suffix_keys(words: tuple[str, ...]) -> set[str]:
-    """Suffixes of each word, and of each word read backwards, marked by direction."""
+def suffix_keys(words: tuple[str, ...], longest: int | None = None) -> set[str]:
+    """Suffixes of each word, and of each word read backwards, marked by direction; none beyond ``longest`` characters, if given."""
     out = set()
     for w in words:
-        w = w[-24:] if len(w) > 24 else w
-        for k in range(min(MIN_SUFFIX, len(w)), len(w) + 1):
+        most = len(w) if longest is None else min(len(w), longest)
+        for k in range(min(MIN_SUFFIX, len(w)), most + 1):
             out.add(">" + w[-k:])
             out.add("<" + w[:k])
     return out
@@ -139,9 +145,10 @@ def organisation(names: list[str], lines: set[str]) -> dict:
     return out
 
 
-def person(full: str, arabic: str | None) -> dict:
+def person(full: str, arabic: str | None, nicknames: dict[str, str] = NICKNAMES) -> dict:
     w = _joined(tokens(full))
     out = {"kind": "p", "given": w[0] if len(w) > 1 else "", "middle": w[1:-1], "surname": w[-1] if w else "", "ar": []}
+    out["short"] = nicknames.get(out["given"], "").split()
     a = _joined(tokens(arabic or ""))
     if a:
         out["ar"] = [a[0] if len(a) > 1 else "", a[-1]]
@@ -248,12 +255,11 @@ def score_organisation(mention: str, e: dict) -> float:
     return best
 
 
-def _given_score(w: str, given: str) -> float:
+def _given_score(w: str, given: str, names: list[str]) -> float:
     if not given:
         return 0.0
     if len(w) == 1:
         return 0.85 if w == given[0] else 0.0
-    names = NICKNAMES.get(given, "").split()
     if w in names:
         return 0.95
     r = max([alike(w, given), *[0.95 * lcs_ratio(w, n) for n in names if len(n) > 4]])
@@ -282,12 +288,12 @@ def score_person(mention: str, e: dict) -> float:
             continue
         rest = [x for x in words[:i] + words[i + 1 :]]
         # Dotted initials came as one word.
-        rest = [y for x in rest for y in (x if len(x) == 2 and x[0] == e["given"][:1] and not _given_score(x, e["given"]) else [x])]
+        rest = [y for x in rest for y in (x if len(x) == 2 and x[0] == e["given"][:1] and not _given_score(x, e["given"], e["short"]) else [x])]
         if not rest:
             if addressed:
                 best = max(best, 0.8 * s)
             continue
-        g, at = max((_given_score(x, e["given"]), -j) for j, x in enumerate(rest))
+        g, at = max((_given_score(x, e["given"], e["short"]), -j) for j, x in enumerate(rest))
         if not g:
             continue
         others = rest[:-at] + rest[-at + 1 :]
@@ -306,18 +312,26 @@ def score(mention: str, e: dict) -> float:
 
 
 def line_words(competitors: DataFrame, least: int = 3) -> set[str]:
-    """Words that stand in the names of at least ``least`` organisations: their lines of business."""
+    """Words that stand in the names of at least ``least`` organisations and lead few of them: their lines of business.
+
+    Organisations are told apart by the beginnings of their other words, so one that is entered again, misspelled or not, counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [w for n in b.column(0).to_pylist() for w in dict.fromkeys(tokens(n or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+            out = []
+            for n in b.column(0).to_pylist():
+                own = [w for w in dict.fromkeys(tokens(n or "")) if w not in GENERIC]
+                out += [(w, " ".join(sorted(x[:2] for x in own if x != w)), i == 0) for i, w in enumerate(own)]
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], ["word", "others", "leads"])
 
-    got = competitors.select("name").mapInArrow(run, "word string").groupBy("word").count().filter(F.col("count") >= least)
-    return {r.word for r in got.collect()} - GENERIC
+    got = competitors.select("name").mapInArrow(run, "word string, others string, leads boolean").groupBy("word", "others").agg(F.min("leads").alias("leads"))
+    got = got.groupBy("word").agg(F.count("*").alias("n"), F.count_if("leads").alias("leading")).filter((F.col("n") >= least) & (2 * F.col("leading") <= F.col("n")))
+    return {r.word for r in got.collect()}
 
 
-def entries(competitors: DataFrame, people: DataFrame | None, lines: set[str]) -> DataFrame:
+def entries(competitors: DataFrame, people: DataFrame | None, lines: set[str], nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """(entity, rank, entry, keys, initial): the register's rows, prepared for comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +347,7 @@ def entries(competitors: DataFrame, people: DataFrame | None, lines: set[str]) -
                     first = {e["brand"][:1], *[x[0][:1] for x in e["ar"]]} - {""}
                     keys = suffix_keys(words) | {"@" + a for a in {*e["acronyms"], e["initials"]} if a}
                 else:
-                    e = person(names[0], names[1] if len(names) > 1 else None)
+                    e = person(names[0], names[1] if len(names) > 1 else None, nicknames)
                     words = tuple(_joined(tokens(names[0]))) + tuple(_joined(tokens(names[1])) if len(names) > 1 else ())
                     first = initials(words)
                     keys = suffix_keys(words)
@@ -348,8 +362,8 @@ def entries(competitors: DataFrame, people: DataFrame | None, lines: set[str]) -
     return rows.mapInArrow(run, "entity string, rank bigint, entry string, keys array<string>, first array<string>")
 
 
-def link(mentions: DataFrame, register: DataFrame, ranked: bool = False) -> DataFrame:
-    """(mention, entity, score): the one best entry of each distinct mention that has one.
+def tops(mentions: DataFrame, register: DataFrame, ranked: bool = False) -> DataFrame:
+    """(mention, score, entities): the best entries of each distinct mention that has one, those within NEAR of the best score.
 
     With ``ranked``, mentions carry ``rank`` and meet only entries of a smaller one.
     """
@@ -359,6 +373,7 @@ def link(mentions: DataFrame, register: DataFrame, ranked: bool = False) -> Data
     refined = index.join(common, "key").select(F.explode(F.transform("first", lambda c: F.concat_ws("|", "key", c))).alias("key"), "entity")
     index = plain.unionByName(refined).distinct()
     often = frozenset(r.key for r in common.collect())  # at most the register's own keys
+    longest = (register.select(F.max(F.array_max(F.transform("keys", lambda k: F.length(k)))).alias("n")).first().n or 1) - 1  # no longer suffix can be in the index
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,7 +381,7 @@ def link(mentions: DataFrame, register: DataFrame, ranked: bool = False) -> Data
             for i, m in enumerate(b.column(0).to_pylist()):
                 words = tokens(m)
                 acr = acronym_of(m)
-                for k in suffix_keys(tuple(dict.fromkeys([*words, *_joined(words)]))) | ({"@" + acr} if acr else set()):
+                for k in suffix_keys(tuple(dict.fromkeys([*words, *_joined(words)])), longest) | ({"@" + acr} if acr else set()):
                     for key in [f"{k}|{c}" for c in initials(words)] if k in often else [k]:
                         at.append(i)
                         keys.append(key)
@@ -400,28 +415,53 @@ def link(mentions: DataFrame, register: DataFrame, ranked: bool = False) -> Data
 
     scored = pairs.select("mention", *["rank"] * ranked, "entity", "entry").mapInArrow(compare, kinds + "entity string, score double")
     by = ["mention", *["rank"] * ranked]
-    best = scored.groupBy(*by).agg(F.max(F.struct("score", "entity")).alias("best"), F.max("score").alias("top"), F.collect_set(F.struct(F.round("score", 6).alias("score"), "entity")).alias("all"))
-    alone = F.size(F.filter("all", lambda x: x["score"] >= F.col("top") - 0.015)) == 1
-    return best.filter(alone).select(*by, F.col("best.entity").alias("entity"), F.col("best.score").alias("score"))
+    best = scored.groupBy(*by).agg(F.max("score").alias("score"), F.collect_set(F.struct(F.round("score", 6).alias("score"), "entity")).alias("all"))
+    return best.select(*by, "score", F.transform(F.filter("all", lambda x: x["score"] >= F.col("score") - NEAR), lambda x: x["entity"]).alias("entities"))
 
 
-def repeated_entries(competitors: DataFrame, lines: set[str]) -> DataFrame:
-    """(id, name, first): rows of ``competitors`` that enter an organisation with a smaller id again."""
-    names = competitors.filter("id is not null and trim(name) != ''").select(F.col("id").cast("bigint").alias("rank"), F.col("name").alias("mention"))
-    found = link(names, entries(competitors, None, lines), ranked=True)
-    return found.select(F.col("rank").alias("id"), F.col("mention").alias("name"), F.substring("entity", 2, 20).cast("bigint").alias("first"))
+def link(mentions: DataFrame, register: DataFrame) -> DataFrame:
+    """(mention, entity, score): the one best entry of each distinct mention that has one."""
+    return tops(mentions, register).filter("size(entities) = 1").select("mention", F.col("entities")[0].alias("entity"), "score")
 
 
-def variant_names(classifications: DataFrame, competitors: DataFrame, people: DataFrame) -> DataFrame:
+def repeated_entries(competitors: DataFrame, lines: set[str]) -> DataFrame:
+    """(id, name, first): rows of ``competitors`` that enter an organisation again, with the smallest id of that organisation.
+
+    A row leads to the entry of a smaller id that it fits best.  Several that it fits equally well are no ambiguity if they lead to
+    one organisation; rows that this settles may settle others, so it is repeated while it finds any.
+    """
+    names = competitors.filter("id is not null and trim(name) != ''").select(F.col("id").cast("bigint").alias("rank"), F.col("name").alias("mention"))
+    found = cut(tops(names, entries(competitors, None, lines), ranked=True).select(F.col("rank").alias("id"), F.col("mention").alias("name"), F.transform("entities", lambda e: F.substring(e, 2, 20).cast("bigint")).alias("to")))
+    parents = _rooted(found.filter("size(to) = 1").select("id", "name", F.col("to")[0].alias("first")))
+    while True:
+        open_ = found.join(parents.select("id"), "id", "left_anti").select("id", "name", F.explode("to").alias("to"))
+        root = parents.select(F.col("id").alias("to"), F.col("first").alias("root"))
+        settled = open_.join(root, "to", "left").groupBy("id", "name").agg(F.collect_set(F.coalesce("root", "to")).alias("roots")).filter("size(roots) = 1")
+        more = cut(settled.select("id", "name", F.col("roots")[0].alias("first")))
+        if more.isEmpty():
+            return parents
+        parents = _rooted(parents.unionByName(more))
+
+
+def _rooted(parents: DataFrame) -> DataFrame:
+    """(id, name, first) with ``first`` followed to its end; each round halves the paths."""
+    parents = cut(parents)
+    while True:
+        up = parents.select(F.col("id").alias("first"), F.col("first").alias("next"))
+        moved = cut(parents.join(up, "first", "left").select("id", "name", F.coalesce("next", "first").alias("first"), F.col("next").isNotNull().alias("moved")))
+        parents = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return parents
+
+
+def variant_names(classifications: DataFrame, competitors: DataFrame, people: DataFrame, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """(tbl, row_id, mention, entity_key): spellings in ``entities`` that mean an entry but equal none of its names, and rows of
     ``competitors`` that enter an organisation again."""
     lines = line_words(competitors)
-    again = repeated_entries(competitors, lines).persist()
+    again = repeated_entries(competitors, lines)
     root = again.select("id", F.concat(F.lit("c"), F.col("first").cast("string")).alias("root"))
-    # Chains of repeated entries lead to the smallest id: an entry is compared with rows of smaller ids only, of which the
-    # first that is no repetition itself stands for all.
     firsts = competitors.join(root, competitors["id"] == root["id"], "left_anti")
-    register = entries(firsts, people, lines)
+    register = cut(entries(firsts, people, lines, nicknames))
     names = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("mention")
     own = competitors.select("id", names).join(root, "id", "left").select("mention", F.coalesce("root", F.concat(F.lit("c"), F.col("id").cast("string"))).alias("entity"))
     own = own.unionByName(people.select(F.explode(F.array("full_name", "full_name_ar")).alias("mention"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("entity"))).distinct()

@@ -45,3 +45,35 @@ def test_lcs(a, b):
         for j, y in enumerate(b):
             best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
     assert linking._lcs(a, b) == best[-1][-1] if a and b else linking.lcs_ratio(a, b) == 0.0
+
+
+def _again(spark, names):
+    c = spark.createDataFrame([*[(i, n, None) for i, n in names], *[(100 + i, n, a) for i, n, a in ORGS if n]], "id int, name string, aliases array<string>")
+    return {r.id: r.first for r in linking.repeated_entries(c, linking.line_words(c)).collect() if r.id < 100}
+
+
+def test_rows_of_one_organisation_are_no_ambiguity(spark):
+    names = [(1, "Nuvora Leasing"), (3, "Nuvora Leasng"), (4, "Qal Leasing"), (5, "Wam Leasing"), (6, "Hib Leasing")]
+    assert _again(spark, names) == {3: 1}
+    assert _again(spark, [*names, (2, "Nuvora  Leasing Co")]) == {2: 1, 3: 1}
+    assert _again(spark, [*names, (2, "Nuvora  Leasing Co"), (7, "Nuvora Lesing"), (8, "NUVORA LEASING")]) == {2: 1, 3: 1, 7: 1, 8: 1}
+
+
+def test_an_organisation_entered_often_is_no_line_of_business(spark):
+    c = spark.createDataFrame([(i, n) for i, n in enumerate(["Nuvora Leasing", "Nuvora  Leasing Co", "Nuvora Leasng", "Qal Leasing", "Wam Leasing", "Hib Leasing"])], "id int, name string")
+    assert linking.line_words(c) == {"leasing"}
+
+
+def test_long_names_meet_by_their_beginning(spark):
+    c = spark.createDataFrame(ORGS, "id int, name string, aliases array<string>")
+    p = spark.createDataFrame(PEOPLE, "id int, full_name string, full_name_ar string")
+    a = spark.createDataFrame([(1, ["fabanzuxdigitalwalletservicse"]), (2, ["tonikhumnsavingsbnak"])], "id bigint, entities array<string>")
+    assert {(r.row_id, r.entity_key) for r in linking.variant_names(a, c, p).collect() if r.tbl != "competitors"} == {(1, "c2"), (2, "c1")}
+
+
+def test_nicknames_are_an_option(spark):
+    c = spark.createDataFrame(ORGS, "id int, name string, aliases array<string>")
+    p = spark.createDataFrame(PEOPLE, "id int, full_name string, full_name_ar string")
+    a = spark.createDataFrame([(1, ["Bobby Bohiban"]), (2, ["Roberto Bohiban"])], "id bigint, entities array<string>")
+    got = [{r.row_id for r in linking.variant_names(a, c, p, n).collect() if r.tbl != "competitors"} for n in (linking.NICKNAMES, {})]
+    assert got == [{1, 2}, {2}]
