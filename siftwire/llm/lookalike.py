@@ -149,6 +149,10 @@ def bigram_counts(rows: DataFrame, fields: tuple[str, ...]) -> dict[tuple[int, i
     return {divmod(r.pair, ALPHABET): r.n for r in got.collect()}
 
 
+#: Rows of one spelling that are expanded together, about.
+SPLIT = 10_000
+
+
 def forms(articles: DataFrame, fields: tuple[str, ...] = ("title", "content"), key: str = "id") -> DataFrame:
     """(key, field, form, same, raw): hashes of the form and of the text as written, of every field that is not blank.
 
@@ -185,14 +189,23 @@ def forms(articles: DataFrame, fields: tuple[str, ...] = ("title", "content"), k
 def lookalike_pairs(articles: DataFrame, fields: tuple[str, ...] = ("title", "content"), key: str = "id") -> DataFrame:
     """(field, id_a, id_b): articles whose values in a field look the same but are not the same characters.
 
-    Only groups of one form with at least two spellings are joined, spelling by spelling: rows equal in their characters meet no
-    other row of their spelling.  The rows of a form with one spelling, however many, leave after the first aggregation.
+    Spellings of one form are paired first, each pair once; only then does a pair become pairs of its rows.  Rows equal in their
+    characters never meet, not even as candidates, so a form with a million equal rows and an odd one costs a million steps.  Rows
+    are spread by their own hash before the second step, not by the spelling, so a hot spelling is no hot task.
     """
     from ..context import cut
 
     f = cut(forms(articles, fields, key).dropDuplicates(["key", "field", "raw"]))
     spelt = f.groupBy("field", "form", "raw").agg(F.count("*").alias("n"))
     mixed = spelt.groupBy("field", "form").agg(F.count("*").alias("k")).filter("k > 1").select("field", "form")
-    g = f.join(mixed, ["field", "form"], "left_semi")
-    a, b = (g.select("field", "form", F.col("raw").alias(f"raw_{x}"), F.col("key").alias(f"id_{x}")) for x in "ab")
-    return a.join(b, ["field", "form"]).filter("id_a < id_b and raw_a != raw_b").select("field", "id_a", "id_b").distinct()
+    # Written: the few rows of forms with several spellings are all that is needed from here on.
+    g = cut(f.join(mixed, ["field", "form"], "left_semi"))
+    s = g.groupBy("field", "form", "raw").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    a, b = (s.select("field", "form", F.col("raw").alias(f"raw_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    pairs = a.join(b, ["field", "form"]).filter("raw_a < raw_b")
+    # Each pair of spellings as pairs of parts of at most about SPLIT rows.
+    pairs = pairs.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
+    rows = g.join(s, ["field", "form", "raw"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    x, y = (rows.select("field", "form", F.col("raw").alias(f"raw_{i}"), F.col("part").alias(f"part_{i}"), F.col("key").alias(f"id_{i}")) for i in "ab")
+    out = pairs.join(x, ["field", "form", "raw_a", "part_a"]).join(y, ["field", "form", "raw_b", "part_b"])
+    return out.select("field", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).filter("id_a < id_b").distinct()

@@ -51,3 +51,14 @@ def test_pairs(spark):
 
 def test_long_text(lattice):
     assert lattice.form("Bаnk " * 40_000) == "Bank " * 40_000
+
+
+def test_a_hot_spelling_costs_its_pairs_only(spark):
+    """10^5 equal rows and one odd one: 10^5 pairs, from as many candidates."""
+    from pyspark.sql import functions as F
+
+    odd = "Board of L\u0430zokir approves"
+    df = spark.range(100_000).select(F.format_string("a%06d", "id").alias("id"), F.lit("Board of Lazokir approves").alias("title"), F.lit(None).cast("string").alias("content"))
+    df = df.unionByName(spark.createDataFrame([("b", odd, None)], df.schema))
+    got = lookalike.lookalike_pairs(df)
+    assert got.count() == 100_000 and got.filter("id_b = 'b' and field = 'title'").count() == 100_000
