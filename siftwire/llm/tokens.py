@@ -25,8 +25,8 @@ from ..context import cut
 TOKENIZER = os.environ.get("SIFTWIRE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text longer than this many characters is encoded as a tree of halves.
-LEAF = 16_384
+#: The leaves of the tree of halves hold at most this many characters (and so many tokens, when decoding).
+LEAF = 512
 #: The blanks of PATTERN's \\s (Unicode White_Space), spelled out: Python's own \\s has four more.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Chunks of a text: blanks and the word after them.  No piece of PATTERN goes on with a blank after a non-blank, so a chunk
@@ -73,10 +73,17 @@ class Encoder:
         """Ids of ``text``; none for null and empty texts."""
         if not text:
             return array("i")
-        return self.flat(text) if len(text) <= self.leaf else self._tree(text)
+        return self._tree(text)
 
     def decode(self, ids) -> str:
-        return self._coder.decode(list(ids), errors="strict")
+        """The text of ids: bytes concatenated up the tree."""
+        return self._bytes(ids).decode("utf-8")
+
+    def _bytes(self, ids) -> bytes:
+        if len(ids) <= self.leaf:
+            return b"".join(map(self._coder.decode_single_token_bytes, ids))
+        mid = len(ids) // 2
+        return self._bytes(ids[:mid]) + self._bytes(ids[mid:])
 
     def _tree(self, text: str) -> array:
         """Halves, joined: only the window round the seam is encoded again."""
@@ -88,8 +95,9 @@ class Encoder:
     def _join(self, a: str, ids_a: array, b: str, ids_b: array) -> array:
         """The ids of ``a + b`` from those of its parts.
 
-        The window grows to either side until it ends at a position where a piece begins in any context.  What is left of the
-        window is then the same pieces in ``a`` and in ``a + b``, and so on the right; merges never cross pieces.
+        The window grows to either side until it ends at a position where a piece begins in any context: that is the proof that
+        the tokens outside are stable.  What is left of the window is then the same pieces in ``a`` and in ``a + b``, and so on the
+        right; merges never cross pieces.
         """
         p, q = self._last_sync(a), self._first_sync(b)
         kept_a = ids_a[: len(ids_a) - len(self.flat(a[p:]))] if p else array("i")
@@ -150,11 +158,14 @@ CAPACITY = 2048
 _DIMS, _BITS, _BUCKETS = 3, 10, 256
 
 
-def _projection() -> tuple[np.ndarray, np.ndarray]:
-    """Hash bucket of each token id, and the fixed random projection of bucket counts to a few dimensions."""
-    ids = np.arange(1 << 17, dtype=np.uint64)
-    buckets = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
-    return buckets, np.random.default_rng(7).standard_normal((_BUCKETS, _DIMS))
+def _projection() -> np.ndarray:
+    """The fixed random projection of bucket counts to a few dimensions."""
+    return np.random.default_rng(7).standard_normal((_BUCKETS, _DIMS))
+
+
+def _buckets(ids: np.ndarray) -> np.ndarray:
+    """Hash bucket of each token id, whatever the size of the vocabulary."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
 
 
 def hilbert_key(axes: list[int], bits: int = _BITS) -> int:
@@ -191,7 +202,7 @@ def measure_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        buckets, projection = _projection()
+        projection = _projection()
         for b in batches:
             sizes, curve = [], []
             for t in b.column(1).to_pylist():
@@ -199,7 +210,7 @@ def measure_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
                 sizes.append(len(ids))
                 if len(ids):
                     ids = np.frombuffer(ids, np.int32)
-                    counts = np.bincount(buckets[ids], minlength=_BUCKETS).astype(float)
+                    counts = np.bincount(_buckets(ids), minlength=_BUCKETS).astype(float)
                     v = counts @ projection / np.sqrt((counts * counts).sum())
                     grid = ((np.tanh(v / 2) + 1) / 2 * ((1 << _BITS) - 1)).astype(int)
                     curve.append(hilbert_key([int(g) for g in grid]))
@@ -229,13 +240,54 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+#: Containers of a window are kept from this share of their capacity on; items of others wait for at most so many windows.
+FULL, PATIENCE = 0.98, 2
+
+
+def packed_windows(batches: Iterator[pa.RecordBatch], capacity: int, window: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(container numbers, items) of items with ``n_tokens`` that come in order, ``window`` at a time.
+
+    Containers that are FULL are given out, and so are those with an item that has waited PATIENCE windows, however full: a task
+    holds no more than PATIENCE + 1 windows of items.
+    """
+    number, held, waited = 0, None, np.zeros(0, np.int64)
+    waiting: list[pa.RecordBatch] = []
+
+    def packed(part: pa.Table, age: np.ndarray, last: bool):
+        nonlocal number, held, waited
+        sizes = part["n_tokens"].to_numpy()
+        bins = best_fit(sizes, capacity)
+        fill = np.bincount(bins, weights=sizes)
+        done = (fill >= FULL * capacity) | last
+        done[bins[age >= PATIENCE]] = True
+        names = np.cumsum(done) - 1 + number
+        number += int(done.sum())
+        keep = done[bins]
+        held, waited = part.filter(pa.array(~keep)), age[~keep] + 1
+        return names[bins[keep]], part.filter(pa.array(keep))
+
+    def gathered() -> tuple[pa.Table, np.ndarray]:
+        new = pa.Table.from_batches(waiting) if waiting else held.slice(0, 0)
+        return (new, np.zeros(new.num_rows, np.int64)) if held is None else (pa.concat_tables([held, new]), np.concatenate([waited, np.zeros(new.num_rows, np.int64)]))
+
+    for b in batches:
+        # Windows are counted in items, however the batches come.
+        for at in range(0, b.num_rows, window):
+            waiting.append(b.slice(at, window))
+            if sum(x.num_rows for x in waiting) >= window:
+                yield packed(*gathered(), False)
+                waiting = []
+    if waiting or held is not None and held.num_rows:
+        yield packed(*gathered(), True)
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", vocabulary: str = TOKENIZER, window: int = 8192) -> DataFrame:
     """(container_id, doc_id, piece_no, start_token, n_tokens): every document in containers of ``capacity`` tokens.
 
     A document alone above the capacity gives full pieces and a rest; no other is split.  Items are range-sorted by their key
     on a Hilbert curve through the hashed document vectors and packed, best fit of decreasing sizes, among ``window``
-    neighbours along the curve; the containers of a window that stay less than 98 % full are given up and their items packed
-    again with those of the next window, so that little room is lost where windows meet.  Container ids are
+    neighbours along the curve; the containers of a window that stay less than FULL are given up and their items packed again with
+    those of the next window, PATIENCE times at most, so that little room is lost where windows meet.  Container ids are
     (part of the range sort) * 2^40 + number.  Empty and null texts take no room and go into the container of their
     neighbours; repeated rows are packed each.  Only sizes and keys are shuffled.
     """
@@ -250,34 +302,8 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, key: str = "d
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        number = 0
-
-        def packed(part: pa.Table, last: bool):
-            nonlocal number
-            sizes = part["n_tokens"].to_numpy()
-            bins = best_fit(sizes, capacity)
-            fill = np.bincount(bins, weights=sizes)
-            done = (fill >= 0.98 * capacity) | last
-            names = np.cumsum(done) - 1 + number
-            number += int(done.sum())
-            keep = done[bins]
-            out = part.filter(pa.array(keep)).append_column("container_id", pa.array(base + names[bins[keep]], pa.int64()))
-            return out, part.filter(pa.array(~keep))
-
-        held: pa.Table | None = None
-        waiting: list[pa.RecordBatch] = []
-        for b in batches:
-            waiting.append(b)
-            if sum(x.num_rows for x in waiting) >= window:
-                part = pa.Table.from_batches(waiting)
-                part = pa.concat_tables([held, part]) if held is not None else part
-                out, held = packed(part, False)
-                waiting = []
-                yield from out.to_batches()
-        part = pa.Table.from_batches(waiting) if waiting else None
-        rest = [x for x in (held, part) if x is not None and x.num_rows]
-        if rest:
-            yield from packed(pa.concat_tables(rest), True)[0].to_batches()
+        for names, part in packed_windows(batches, capacity, window):
+            yield from part.append_column("container_id", pa.array(base + names, pa.int64())).to_batches()
 
     kind = documents.schema[key].dataType.simpleString()
     out = items.select("key", "piece_no", "start_token", "n_tokens").mapInArrow(run, f"key {kind}, piece_no bigint, start_token bigint, n_tokens bigint, container_id bigint")

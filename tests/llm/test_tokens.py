@@ -138,3 +138,39 @@ def test_runs_are_cut_behind_marks():
     text = "".join(f"Thebanksaidthatitsbookgrewby{i}.7%inMay,whilefeesfell." for i in range(120))
     pieces = tokens.split_text(text, tokens.encoder(), 512, 64)
     assert all(text[o - 1] == "." and not text[o].isdigit() for _, _, o, _ in pieces[1:])
+
+
+def _windows(sizes, capacity, window):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(sizes, pa.int64())], ["key", "n_tokens"])
+    return [(names, part) for names, part in tokens.packed_windows(iter([batch]), capacity, window)]
+
+
+def test_a_window_that_never_fills_is_not_carried_on():
+    """Items of 1200 tokens leave every container at 59 %; none of them waits for more than PATIENCE windows."""
+    out = _windows([1200] * 100 * 20, 2048, 100)
+    done = 0
+    for i, (_, part) in enumerate(out):
+        done += part.num_rows
+        assert (i + 1) * 100 - done <= (tokens.PATIENCE + 1) * 100
+    assert done == 2000
+    bins: dict = {}
+    for names, part in out:
+        for c, n in zip(names.tolist(), part["n_tokens"].to_pylist()):
+            bins[c] = bins.get(c, 0) + n
+    assert max(bins.values()) <= 2048
+
+
+def test_vocabularies_of_any_size_are_projected():
+    import numpy as np
+
+    got = tokens._buckets(np.array([0, 150_000, 2_000_000_000], np.int32))
+    assert got.min() >= 0 and got.max() < tokens._BUCKETS
+
+
+def test_every_text_goes_through_the_tree(monkeypatch):
+    e = _small(16)
+    seen = []
+    monkeypatch.setattr(e, "_join", lambda *a, f=type(e)._join: (seen.append(1), f(e, *a))[1])
+    assert list(e.encode("one short text of words")) == e._coder.encode_ordinary("one short text of words") and seen
