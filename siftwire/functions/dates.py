@@ -38,6 +38,7 @@ def effective_days(explicit: Column, start_us: Column, end_us: Column, scheduled
     return F.coalesce(explicit, F.bround((end_us - start_us) / 86_400_000_000).cast("int"), F.lit(scheduled))
 
 
-def display(ts: Column, zone: str) -> Column:
-    """``dd Mon yyyy, HH:MM`` in a zone."""
-    return F.date_format(F.from_utc_timestamp(ts, zone), "dd MMM yyyy, HH:mm")
+def display(ts: Column, zone: str, name: str = "") -> Column:
+    """``dd Mon yyyy, HH:MM`` in a zone, with the zone's name if one is given.  The session's zone is UTC."""
+    shown = F.date_format(F.from_utc_timestamp(ts, zone), "dd MMM yyyy, HH:mm")
+    return F.concat(shown, F.lit(" " + name)) if name else shown

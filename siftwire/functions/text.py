@@ -39,13 +39,112 @@ def strip_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(text_or_empty(c), "<[^>]+>", " "))
 
 
+#: Elements that go with all that they hold.
+HOLLOW = ("script", "style", "nav", "header", "footer", "aside", "form", "button", "iframe")
+#: Elements that hold nothing in HTML, so they open nothing.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def page_text(page: str) -> tuple[str, str, list[str]]:
+    """(text, text of the main container, its paragraphs) of a page, by the standard parser: whatever HOLLOW elements hold is left out,
+    however they nest; entities are decoded; what is never closed ends with the element around it.
+
+    The main container is the first ``article``, else the first ``main``, else the first ``div`` whose class names a body of text, else
+    the page.
+    """
+    from html.parser import HTMLParser
+
+    said: list[tuple[str, int, int]] = []  # (text, its paragraph or 0, its containers as bits)
+    stack: list[str] = []
+    hollow = paragraph = number = 0
+    opened: list[tuple[int, str]] = []  # (depth, kind) of open containers
+    kinds = {"article": 1, "main": 2, "body": 4}
+    first: set[str] = set()
+
+    class Reader(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style")
+
+        def handle_starttag(self, tag, attrs):  # noqa: ANN001
+            nonlocal hollow, paragraph, number
+            if tag in _VOID:
+                return
+            if tag == "p" and "p" in stack:  # a paragraph ends where the next begins
+                self.handle_endtag("p")
+            stack.append(tag)
+            hollow += tag in HOLLOW
+            if hollow:
+                return
+            kind = tag if tag in ("article", "main") else "body" if tag == "div" and re.search("content|article|entry|post|story|detail", (dict(attrs).get("class") or "").lower()) else ""
+            if kind and kind not in first:
+                first.add(kind)
+                opened.append((len(stack), kind))
+            if tag == "p":
+                number += 1
+                paragraph = number
+
+        def handle_endtag(self, tag):  # noqa: ANN001
+            nonlocal hollow, paragraph
+            if tag not in stack:
+                return
+            while stack:
+                last = stack.pop()
+                hollow -= last in HOLLOW
+                if last == "p":
+                    paragraph = 0
+                while opened and opened[-1][0] > len(stack):
+                    opened.pop()
+                if last == tag:
+                    return
+
+        def handle_data(self, data):  # noqa: ANN001
+            if not hollow and data.strip():
+                said.append((data, paragraph, sum(kinds[k] for _, k in opened)))
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    joined = lambda parts: " ".join(" ".join(parts).split())
+    bit = next((kinds[k] for k in ("article", "main", "body") if k in first), 0)
+    within = [x for x in said if not bit or x[2] & bit]
+    paragraphs: dict[int, list[str]] = {}
+    for t, n, _ in within:
+        if n:
+            paragraphs.setdefault(n, []).append(t)
+    return joined([t for t, _, _ in said]), joined([t for t, _, _ in within]), [joined(p) for p in paragraphs.values()]
+
+
 def strip_html(c: Column) -> Column:
-    """Text of a page without the elements that hold no prose; entities of the five basic kinds decoded."""
-    bare = F.regexp_replace(text_or_empty(c), "(?is)<(script|style|nav|header|footer|aside|form|noscript|iframe)\\b.*?</\\1\\s*>", " ")
-    t = F.regexp_replace(bare, "<[^>]+>", " ")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(plain))
-    return squeeze(t)
+    """Text of a page without the elements that hold no prose (``page_text``); null gives an empty text.
+
+    Texts without markup or entities stay in the JVM.
+    """
+
+    @F.pandas_udf("string")
+    def read(pages):
+        return pages.map(lambda t: t if t is None else page_text(t)[0])
+
+    t = text_or_empty(c)
+    marked = t.rlike("[<&]")
+    return squeeze(F.when(marked, read(F.when(marked, t))).otherwise(t))
+
+
+def main_text(c: Column, paragraph: int = 25, least: int = 100) -> Column:
+    """The paragraphs of a page's main container that are longer than ``paragraph``; those of the whole page where they make less than
+    ``least`` characters and the page has more."""
+
+    def choose(t: str) -> str:
+        _, _, own = page_text(t)
+        own = [x for x in own if len(x) > paragraph]
+        if sum(map(len, own)) < least:
+            every = [x for x in page_text(re.sub("(?i)</?(?:article|main|div)[^>]*>", " ", t))[2] if len(x) > paragraph]
+            own = every if len(" ".join(every)) > len(" ".join(own)) else own
+        return " ".join(own)
+
+    @F.pandas_udf("string")
+    def read(pages):
+        return pages.map(lambda t: t if t is None else choose(t))
+
+    return read(text_or_empty(c))
 
 
 def strip_boilerplate(c: Column, compat: bool = False) -> Column:
@@ -78,8 +177,8 @@ def distinct_sentences(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Markup, boilerplate, repeated sentences and blanks removed, in this order; null gives an empty text."""
-    return squeeze(distinct_sentences(strip_boilerplate(strip_html(c))))
+    """Encoding repaired; markup, boilerplate, repeated sentences and blanks removed, in this order; null gives an empty text."""
+    return squeeze(distinct_sentences(strip_boilerplate(strip_html(repair_encoding(c)))))
 
 
 def title_key(c: Column, compat: bool = False) -> Column:
@@ -133,15 +232,43 @@ def recipients(c: Column) -> Column:
     return F.transform(parts, lambda p: F.when(p.rlike("<[^>]+>"), F.regexp_extract(p, "<([^>]+)>", 1)).otherwise(p))
 
 
+#: Headings that a model puts before its summary.
+HEADINGS = ("final polish", "executive summary", "factual summary", "summary", "overview", "draft")
+
+
 def scrub_summary(c: Column) -> Column:
-    """A model's summary without fences, headers, checklist lines and leading marks."""
-    head = "(?i)^(?:\\*\\*)?(?:final polish|executive summary|factual summary|summary|overview|draft)(?:\\*\\*)?[:\\s-]+"
-    marks = "^[\\s)?*#_(\\]\\[-]+"
-    t = F.regexp_replace(strip_fence(c), marks, "")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)^(?:\\d+[.)]\\s*(?:\\*\\*)?[a-z\\s]+(?:\\*\\*)?[:\\s-]+)+", ""), head, "")
-    lines = F.filter(F.split(t, "\\n"), lambda x: ~x.rlike("(?i)\\?\\s*(?:yes|no)\\b") & (F.trim(x) != ""))
-    t = F.array_join(F.transform(lines, lambda x: F.trim(x)), "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(?i)^(?:yes|no)[\\s),.:-]+", ""), marks, ""), head, ""))
+    """The prose of a model's reply.
+
+    A line is no prose if it is blank, a fence, or asks a question and answers it with yes or no.  From the opening of what is left, all
+    that comes before the prose goes, in any order and number: marks, HEADINGS, numbered titles that end in a colon, a bare verdict.
+    """
+    lines = F.transform(F.split(text_or_empty(c), "\\R"), lambda x: F.trim(x))
+    prose = F.filter(lines, lambda x: (x != "") & ~x.startswith("```") & ~x.rlike("(?i)\\?\\W*(?:yes|no)\\b"))
+    before = "|".join((
+        "[\\s#*_>)(\\]\\[?-]+",
+        "(?:" + "|".join(HEADINGS) + ")[*_\\s]*[:-]+",
+        "[0-9]+[.)][*_\\s]*[\\p{L} ]+[*_]*:",
+        "(?:yes|no)\\b\\s*[),.:;-]+",
+    ))
+    return F.trim(F.regexp_replace(F.array_join(prose, "\n"), f"(?i)^(?:{before})+", ""))
+
+
+#: Signs of a reply that is no summary, and phrases of one that says nothing.
+MALFORMED = ("?* yes", "?* no", "professional english? yes", "concrete facts? yes")
+STUBS = (
+    "no_substance", "contains only the title", "without disclosing any concrete figures", "no specific figures",
+    "no specific dates, rates, or institutional decisions", "metadata and date of this listing committee", "provides only the metadata",
+)
+
+
+def valid_summary(c: Column, least: int = 50) -> Column:
+    """Whether a summary can be sent: long enough, no Arabic letter, no sign of MALFORMED or STUBS; null cannot."""
+    t = F.lower(c)
+    signs = [t.contains(x) for x in (*MALFORMED, *STUBS)]
+    bad = c.rlike("[\\u0600-\\u06FF]") | c.startswith(")") | c.startswith("?*")
+    for x in signs:
+        bad = bad | x
+    return F.coalesce((F.length(c) >= least) & ~bad, F.lit(False))
 
 
 def strip_fence(c: Column) -> Column:

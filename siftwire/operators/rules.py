@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """One line of a rule table: it fires where each column holds one of its terms (``any_of``) and none of ``none_of``."""
+    """One line of a rule table: it fires where each column holds one of its terms (``any_of``), none of ``none_of``, and one of each
+    further list of ``all_of``, pairs of a column and terms."""
 
     name: str
     label: str
     any_of: dict[str, tuple[str, ...]] = field(default_factory=dict)
     none_of: dict[str, tuple[str, ...]] = field(default_factory=dict)
     score: int = 0
+    all_of: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
 def _one_of(c: Column, terms: tuple[str, ...]) -> Column:
@@ -26,7 +28,7 @@ def _one_of(c: Column, terms: tuple[str, ...]) -> Column:
 
 def fires(rule: Rule) -> Column:
     out = F.lit(True)
-    for c, terms in rule.any_of.items():
+    for c, terms in (*rule.any_of.items(), *rule.all_of):
         out = out & _one_of(F.col(c), terms)
     for c, terms in rule.none_of.items():
         out = out & ~_one_of(F.col(c), terms)
@@ -62,6 +64,13 @@ def relevance_gate(articles: DataFrame, classes: DataFrame, least: int = 50) ->
     return articles.join(good, articles["id"] == good["article_id"], "left_semi")
 
 
+def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row: n, hits, accuracy (three digits) of the rows that have a label and a prediction."""
+    both = rows.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull())
+    n = both.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col(predicted)).alias("hits"))
+    return n.select("n", "hits", F.round(F.try_divide("hits", "n"), 3).alias("accuracy"))
+
+
 def confusion(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     """One row: tp, fp, fn, tn, precision, recall, f1 (three digits, 0 where undefined)."""
     y, p = F.coalesce(F.col(label), F.lit(False)), F.coalesce(F.col(predicted), F.lit(False))

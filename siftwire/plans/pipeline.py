@@ -157,7 +157,7 @@ def summarise(events: DataFrame, model: ModelClient) -> DataFrame:
     rows = events.select("id", "canonical_title", F.substring("body", 1, 4000).alias("body")).collect()
     told = events.sparkSession.createDataFrame([(r.id, model.summarise(r.canonical_title, r.body or "")) for r in rows], "id string, raw string")
     told = told.select("id", text.scrub_summary(F.col("raw")).alias("summary"))
-    return events.join(told.filter((F.length("summary") >= 50) & ~F.col("summary").rlike("^\\)|^\\?\\*")), "id")
+    return events.join(told.filter(text.valid_summary(F.col("summary"))), "id")
 
 
 def render(rows: list, ctx: RunContext) -> tuple[str, str, str]:

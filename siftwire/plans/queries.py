@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import timestamps
 from ..sources.tables import table
-from . import relational_queries
+from . import catalogue_queries, relational_queries
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +20,8 @@ def p5_zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational_queries.QUERIES | {f.__name__: f for f in (p5_found, p5_zones)}
+    return relational_queries.QUERIES | catalogue_queries.QUERIES | {f.__name__: f for f in (p5_found, p5_zones)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational_queries.SQL)
+    return relational_queries.SQL | catalogue_queries.SQL

@@ -261,11 +261,6 @@ def greedy_input(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", urls.canonical_url(F.col("url")).alias("k1"), "content_hash", F.when(F.length(key) > 20, key).alias("k3"))
 
 
-@query()
-def q_greedy_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.greedy_distinct(greedy_input(spark, d), "id", ["k1", "content_hash", "k3"]).select("id")
-
-
 @query(f"""with k as (select id, lower(regexp_replace(split_part(split_part(regexp_replace(trim(coalesce(url,'')),'^https?://(?:www\\.)?','','i'),'#',1),'?',1),'/+$','')) u, content_hash h from {A}),
  e as (select id a, min(id) over (partition by u) b from k where u <> '' union all select id, min(id) over (partition by h) from k where h is not null),
  s as (select a, b from e where a <> b), ab as (select a, b from s union select b, a from s),

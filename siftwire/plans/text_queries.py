@@ -82,7 +82,7 @@ _SQUEEZE = "trim(regexp_replace({0},'[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{
 
 
 @query(f"""with t as (select id, {_SQUEEZE.format("regexp_replace(coalesce(content,''),'<[^>]+>',' ','g')")} as t from {A}) select id, length(t) as chars, md5(t) as digest from t""")
-def q_html_strip(spark: SparkSession, d: str) -> DataFrame:
+def q_tag_strip(spark: SparkSession, d: str) -> DataFrame:
     t = text.strip_tags(F.col("content"))
     return _articles(spark, d).select("id", F.length(t).cast("bigint").alias("chars"), F.md5(t).alias("digest"))
 
@@ -161,12 +161,6 @@ def q_date_of_path(spark: SparkSession, d: str) -> DataFrame:
     return _articles(spark, d).select("id", urls.date_of_path(F.col("url")).alias("noon")).filter("noon is not null")
 
 
-@query(f"""with l as (select id, unnest(regexp_extract_all(content,'<a\\s+href="([^"]*)"[^>]*>[^<]*</a>',1)) as href from {A}) select id, href, count(*) as n from l group by 1,2""")
-def q_html_links(spark: SparkSession, d: str) -> DataFrame:
-    links = _articles(spark, d).select("id", F.explode(F.expr("""regexp_extract_all(content, '<a\\\\s+href="([^"]*)"[^>]*>[^<]*</a>', 1)""")).alias("href"))
-    return links.groupBy("id", "href").agg(F.count("*").alias("n"))
-
-
 @query("""select id, 'https://news.example/rss?q=' || replace(url_encode(name),'%20','+') as feed from competitors""")
 def q_feed_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "competitors").select("id", urls.feed_url("https://news.example/rss?q=", F.col("name")).alias("feed"))
@@ -188,13 +182,6 @@ def q_recipients(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", text.recipients(listed).alias("r")).select("id", F.get("r", F.lit(0)).alias("first"), F.get("r", F.lit(1)).alias("second"))
 
 
-@query("""select id, length(summary) >= 50 and not regexp_matches(summary,'[\\x{0600}-\\x{06FF}]') and not starts_with(summary,')') and not starts_with(summary,'?*') and not regexp_matches(summary,'(?i)\\?\\*?\\s*(yes|no)\\b') as valid from news_events where summary is not null""")
-def q_summary_gate(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("summary")
-    valid = (F.length(s) >= 50) & ~s.rlike("[\\u0600-\\u06FF]") & ~s.startswith(")") & ~s.startswith("?*") & ~s.rlike("(?i)\\?\\*?\\s*(yes|no)\\b")
-    return table(spark, d, "news_events").filter("summary is not null").select("id", valid.alias("valid"))
-
-
 @query("""select distinct doc_id % 400 as days, case when doc_id % 400 <= 1 then 'Daily Brief' when doc_id % 400 between 6 and 8 then 'Weekly Brief' when doc_id % 400 between 13 and 15 then 'Bi-Weekly Brief' when doc_id % 400 between 28 and 31 then 'Monthly Brief'
  when doc_id % 400 between 58 and 62 then 'Bi-Monthly Brief' when doc_id % 400 between 85 and 95 then 'Quarterly Brief' when doc_id % 400 between 175 and 185 then 'Semi-Annual Brief' when doc_id % 400 between 360 and 366 then 'Annual Brief' else (doc_id % 400) || '-Day Brief' end as brief from documents""")
 def q_brief_name(spark: SparkSession, d: str) -> DataFrame:
@@ -202,9 +189,9 @@ def q_brief_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(days).distinct().select("days", dates.brief_name(F.col("days")).alias("brief"))
 
 
-@query("""select doc_id, '<untrusted>' || chr(10) || substring(coalesce(text,''),1,200) || chr(10) || '</untrusted>' as prompt from documents""")
+@query("""select doc_id, '<untrusted>' || chr(10) || substring(coalesce(text,''),1,3000) || chr(10) || '</untrusted>' as prompt from documents""")
 def q_prompt_wrap(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.wrap_untrusted(F.col("text"), 200).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", text.wrap_untrusted(F.col("text"), 3000).alias("prompt"))
 
 
 @query("""select event_id, try_cast(json_extract_string(props,'$.k') as integer) as k, json_extract_string(props,'$.note') as note from events""")

@@ -26,7 +26,7 @@ RAW = "title string, url string, content string, published_text string, source_n
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """RAW rows of landed RSS (``item``) or Atom (``entry``) files; the longer of content and description, the first date there is."""
     x = spark.read.format("xml").option("rowTag", row_tag).schema(_ITEM).load(path)
-    return x.select("title", F.col("link").alias("url"), F.coalesce("content", "description").alias("content"), F.coalesce("pubDate", "published", "updated").alias("published_text"), F.coalesce("source", text.publisher_suffix(F.col("title"))).alias("source_name"))
+    return x.select("title", F.col("link").alias("url"), F.when(F.length("description") > F.length(F.coalesce("content", F.lit(""))), F.col("description")).otherwise(F.col("content")).alias("content"), F.coalesce("pubDate", "published", "updated").alias("published_text"), F.coalesce("source", text.publisher_suffix(F.col("title"))).alias("source_name"))
 
 
 def search_results(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -97,6 +97,10 @@ def make_articles(raw: DataFrame, retrieved: Column, tier: int = 2, source_id: C
     )
 
 
+#: Names of a register that are read to the driver, at most.
+REGISTER = 100_000
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     """All rows of several feeds, with ``batch`` for the order of the feeds."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("batch", F.lit(i)) for i, f in enumerate(frames)])
@@ -112,7 +116,7 @@ def hydrate(articles: DataFrame, pages: DataFrame, short: int = 200, most: int =
     body = pages.groupBy("url").agg(F.max("html").alias("_html"))
     needs = F.length(F.coalesce("content", F.lit(""))) < short
     small, rest = articles.filter(needs), articles.filter(~needs)
-    page = F.substring(text.strip_html(F.col("_html")), 1, most)
+    page = F.substring(text.main_text(F.col("_html")), 1, most)
     better = F.length(page) > F.length(F.coalesce("content", F.lit("")))
     return small.join(body, "url", "left").withColumn("content", F.when(better, page).otherwise(F.col("content"))).select(articles.columns).unionByName(rest)
 
