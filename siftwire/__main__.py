@@ -18,7 +18,8 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .context import ship
+    from .context import cut, ship
+    from .operators import ledger
     from .plans import pipeline
     from .plans.text_queries import RULES
     from .sources import feeds, sinks
@@ -29,16 +30,25 @@ def main(argv: list[str] | None = None) -> int:
     now = datetime.now(timezone.utc)
     ctx = pipeline.RunContext(a.run_id or now.strftime("%Y%m%dT%H%M%S"), now, tuple(RULES), lookback_days=a.days)
     sinks.create_tables(spark, a.out)
+    sinks.record_run(spark, a.out, ctx.run_id, now)
     raw = spark.read.format("landed_feed").load(a.feeds)
     articles = feeds.make_articles(raw.filter("error is null"), F.timestamp_seconds(F.lit(now.timestamp())))
+    # What is stored keeps its id; only what is not is added.
+    known = sinks.stored(spark, a.out, "articles")
+    new, articles = ledger.insert_absent(known, articles, "url")
     old = {} if a.ignore_sent else {
         "sent": sinks.stored(spark, a.out, "sent_news").select(F.col("event_id").alias("id"), "canonical_url", "canonical_title", F.unix_micros("sent_at").alias("sent_us")),
-        "links": sinks.stored(spark, a.out, "event_articles"), "stored": sinks.stored(spark, a.out, "articles"),
+        "links": sinks.stored(spark, a.out, "event_articles"), "stored": known,
     }
-    result = pipeline.run(articles, ctx, sink=sinks.file_sink(a.out), **old)
-    if result["delivered"]:
-        sinks.append(articles, a.out, "articles")
-        sinks.record_events(result["events"], result["links"], a.out, ctx.run_id, ",".join(ctx.recipients), now)
+    try:
+        result = pipeline.run(articles, ctx, sink=sinks.file_sink(a.out), **old)
+        if result["delivered"]:
+            sinks.record_events(result["events"], result["links"], a.out, ctx.run_id, ",".join(ctx.recipients), now)
+        sinks.put(cut(new), a.out, "articles", ctx.run_id)
+    except Exception as e:
+        sinks.record_run(spark, a.out, ctx.run_id, now, datetime.now(timezone.utc), error=f"{type(e).__name__}: {e}"[:500])
+        raise
+    sinks.record_run(spark, a.out, ctx.run_id, now, datetime.now(timezone.utc), result["counters"]["sent"], result["counters"])
     print(result["subject"], result["counters"])
     return 0
 

@@ -21,6 +21,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="siftwire-")
+        delete_on_exit(spark, named)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
@@ -34,9 +35,36 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(file system, path) as Spark itself sees them, whatever the store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """What a session wrote for itself goes when its driver ends."""
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    fs, p = file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(body.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package: once per context it is sent as a zip by Spark's own file server."""
     sc = spark.sparkContext

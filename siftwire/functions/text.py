@@ -282,6 +282,11 @@ def wrap_untrusted(c: Column, limit: int) -> Column:
     return F.concat(F.lit("<untrusted>\n"), F.substring(t, 1, limit), F.lit("\n</untrusted>"))
 
 
+def unwrapped(prompt: str) -> str:
+    """What ``wrap_untrusted`` wrapped."""
+    return prompt.removeprefix("<untrusted>\n").removesuffix("\n</untrusted>")
+
+
 # --- Arrow ---------------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..context import cut
+
 #: Query vectors per block; a block of 64-dimensional floats takes under 1 MB.
 BLOCK = 4096
 
@@ -63,6 +65,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec
     return out.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id")
 
 
+def embed(texts: DataFrame, model, cache: DataFrame | None = None, most: int = 2000, batch: int = 64) -> DataFrame:  # noqa: ANN001
+    """(node, vector): the vector of each text, those in ``cache`` (node, vector) taken from there, the others asked of ``model``, a
+    function from a list of texts to a list of vectors, ``batch`` at a time in the tasks.
+
+    Texts are cut at ``most`` characters, as the model reads no more.  Blank texts have no vector.  Written once, so no text is asked
+    twice; the result is the next cache.
+    """
+    kind = texts.schema["node"].dataType.simpleString()
+    rows = texts.filter("trim(text) != ''").select("node", F.substring("text", 1, most).alias("text")).dropDuplicates(["node"])
+    if cache is not None:
+        rows = rows.join(cache.select("node"), "node", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model(part.column(1).to_pylist()), pa.list_(pa.float32()))], ["node", "vector"])
+
+    new = cut(rows.mapInArrow(run, f"node {kind}, vector array<float>"))
+    return new if cache is None else new.unionByName(cache.join(texts.select("node").distinct(), "node", "left_semi").select("node", "vector"))
+
+
+def hashed_words(texts: list[str], size: int = 64) -> list[list[float]]:
+    """An offline stand-in for a model: counts of the words' hashes, with signs."""
+    import zlib
+
+    out = np.zeros((len(texts), size))
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+            out[i, h % size] += 1 if h >> 16 & 1 else -1
+    return out.tolist()
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)

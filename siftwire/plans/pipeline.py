@@ -7,6 +7,7 @@ clustering, and before delivery.
 from __future__ import annotations
 
 import html
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..context import cut
 from ..functions import arrays, dates, text, urls
-from ..operators import dedup, ledger, rules
+from ..operators import dedup, ledger, rules, vectors
 
 
 class ModelClient(Protocol):
@@ -27,6 +28,10 @@ class ModelClient(Protocol):
 
     def summarise(self, title: str, content: str) -> str: ...
 
+    def score(self, title: str, content: str) -> str: ...
+
+    def translate(self, title: str) -> str: ...
+
 
 class StubModel:
     """Deterministic and offline: the first sentences are the summary, nothing is relevant."""
@@ -35,14 +40,20 @@ class StubModel:
         return '{"category":"Other","is_relevant":false,"importance_score":0,"relevance_score":0,"confidence":0.5}'
 
     def summarise(self, title: str, content: str) -> str:
-        return content[:400]
+        return text.unwrapped(content)[:400]
+
+    def score(self, title: str, content: str) -> str:
+        return '{"importance_score":0,"relevance_score":0}'
+
+    def translate(self, title: str) -> str:
+        return title
 
 
 class Failover:
     """The first of several clients that answers."""
 
-    def __init__(self, clients: list[ModelClient], tries: int = 3):
-        self.clients, self.tries = clients, tries
+    def __init__(self, clients: list[ModelClient], tries: int = 3, pause_s: float = 1.5):
+        self.clients, self.tries, self.pause_s = clients, tries, pause_s
 
     def _ask(self, name: str, *args: str) -> str:
         error: Exception | None = None
@@ -50,8 +61,9 @@ class Failover:
             for _ in range(self.tries):
                 try:
                     return getattr(client, name)(*args)
-                except OSError as e:  # worth another try
+                except OSError as e:  # worth another try, later each time
                     error = e
+                    time.sleep(self.pause_s)
                 except Exception as e:  # quota, no such model: the next client
                     error = e
                     break
@@ -63,6 +75,12 @@ class Failover:
     def summarise(self, title: str, content: str) -> str:
         return self._ask("summarise", title, content)
 
+    def score(self, title: str, content: str) -> str:
+        return self._ask("score", title, content)
+
+    def translate(self, title: str) -> str:
+        return self._ask("translate", title)
+
 
 @dataclass(frozen=True)
 class RunContext:
@@ -85,6 +103,9 @@ class RunContext:
     topics: dict[str, tuple[str, ...]] = field(default_factory=dict)
     entities: dict[str, tuple[str, ...]] = field(default_factory=dict)
     generic: tuple[str, ...] = ()
+    #: Concepts (name: terms) that two reports of one competitor share; and texts to vectors, for reports that no rule names.
+    concepts: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    embed: Callable[[list[str]], list[list[float]]] | None = None
 
     def __post_init__(self) -> None:
         if not 1 <= self.lookback_days <= 366:
@@ -119,7 +140,7 @@ def classify(articles: DataFrame, ctx: RunContext, model: ModelClient) -> DataFr
     a = a.withColumn("topic", F.coalesce(F.try_element_at(rules.topics(title, ctx.topics), F.lit(1)), F.lit("OTHER")) if ctx.topics else F.lit("OTHER"))
     a = a.withColumn("title_l", F.lower("title")).withColumn("source_l", F.lower(F.coalesce("source_name", F.lit("")))).withColumn("hit", hit)
     known = a.filter("hit.rule != 'none'").select("id", F.col("hit.label").alias("category"), (F.col("hit.score") > 0).alias("is_relevant"), F.col("hit.score").alias("importance_score"), F.when(F.col("hit.score") > 0, 100).otherwise(0).alias("relevance_score"), F.lit(1.0).alias("confidence"), "entities", "topic")
-    open_ = a.filter("hit.rule = 'none'").orderBy(F.desc_nulls_last("at_us"), "id").limit(ctx.model_budget).select("id", "title", F.substring("content", 1, 3000).alias("content"), "entities", "topic").collect()
+    open_ = a.filter("hit.rule = 'none'").orderBy(F.desc_nulls_last("at_us"), "id").limit(ctx.model_budget).select("id", "title", text.wrap_untrusted(F.col("content"), 3000).alias("content"), "entities", "topic").collect()
     asked = [(r.id, model.classify(r.title, r.content or ""), r.entities, r.topic) for r in open_]
     spark = articles.sparkSession
     replies = spark.createDataFrame(asked, "id string, reply string, entities array<string>, topic string").withColumn("r", arrays.model_reply(F.col("reply"), _REPLY))
@@ -134,8 +155,11 @@ def build_events(articles: DataFrame, classes: DataFrame, ctx: RunContext) -> tu
     """
     good = classes.filter(F.col("is_relevant") & (F.col("relevance_score") >= ctx.least_relevance))
     a = cut(articles.join(good, "id"))
-    rows = a.select(F.col("id").alias("node"), urls.url_key(F.col("url")).alias("url_key"), "content_hash", "topic", "at_us", text.title_words(F.col("title")).alias("title"), "entities")
-    c = cut(dedup.event_clusters(rows, generic=ctx.generic))
+    rows = a.select(F.col("id").alias("node"), urls.url_key(F.col("url")).alias("url_key"), "content_hash", "topic", "at_us", text.title_words(F.col("title")).alias("title"), "entities", F.when(F.col("category") == "Competitor", F.try_element_at("entities", F.lit(1))).alias("competitor"))
+    told = None
+    if ctx.embed is not None and a.limit(3).count() == 3:
+        told = vectors.embed(a.select(F.col("id").alias("node"), F.concat_ws(". ", "title", F.substring("content", 1, 500)).alias("text")), ctx.embed)
+    c = cut(dedup.event_clusters(rows, generic=ctx.generic, concepts=ctx.concepts or None, vectors=told))
     ids = c.groupBy("component").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("node")), "|"), 256).alias("event_id"))
     links = cut(c.join(ids, "component").select("event_id", F.col("node").alias("article_id")))
     member = links.join(a.withColumnRenamed("id", "article_id"), "article_id")
@@ -152,9 +176,28 @@ def important(events: DataFrame, ctx: RunContext) -> DataFrame:
     return events.filter((F.col("importance_score") >= ctx.least_importance) & (F.length(F.trim("body")) >= 80) & (F.coalesce("category", F.lit("Other")) != "Other"))
 
 
+def score(events: DataFrame, model: ModelClient) -> DataFrame:
+    """Events with the model's importance where they have none; replies that are no JSON score 0."""
+    rows = events.filter("importance_score is null").select("id", "canonical_title", text.wrap_untrusted(F.col("body"), 2000).alias("body")).collect()
+    if not rows:
+        return events
+    told = events.sparkSession.createDataFrame([(r.id, model.score(r.canonical_title, r.body or "")) for r in rows], "id string, reply string")
+    told = told.select("id", F.coalesce(arrays.model_reply(F.col("reply"), "importance_score int")["importance_score"], F.lit(0)).alias("_score"))
+    return events.join(told, "id", "left").withColumn("importance_score", F.coalesce("importance_score", "_score")).drop("_score")
+
+
+def translate(events: DataFrame, model: ModelClient) -> DataFrame:
+    """Events of the digest with titles in English where they hold Arabic letters."""
+    rows = events.filter(F.col("canonical_title").rlike("[\\u0600-\\u06FF]")).select("id", "canonical_title").collect()
+    if not rows:
+        return events
+    told = events.sparkSession.createDataFrame([(r.id, model.translate(r.canonical_title)) for r in rows], "id string, _title string")
+    return events.join(told, "id", "left").withColumn("canonical_title", F.coalesce(F.nullif(F.trim("_title"), F.lit("")), "canonical_title")).drop("_title")
+
+
 def summarise(events: DataFrame, model: ModelClient) -> DataFrame:
     """Events with a valid summary.  The digest holds as many events as a reader can read, so they are summarised on the driver."""
-    rows = events.select("id", "canonical_title", F.substring("body", 1, 4000).alias("body")).collect()
+    rows = events.select("id", "canonical_title", text.wrap_untrusted(F.col("body"), 4000).alias("body")).collect()
     told = events.sparkSession.createDataFrame([(r.id, model.summarise(r.canonical_title, r.body or "")) for r in rows], "id string, raw string")
     told = told.select("id", text.scrub_summary(F.col("raw")).alias("summary"))
     return events.join(told.filter(text.valid_summary(F.col("summary"))), "id")
@@ -183,11 +226,11 @@ def run(articles: DataFrame, ctx: RunContext, sent: DataFrame | None = None, lin
     clean = cut(preprocess(articles, ctx))
     classes = cut(classify(clean, ctx, model))
     events, pairs = build_events(clean, classes, ctx)
-    events = cut(important(events, ctx))
+    events = cut(important(score(events, model), ctx))
     if sent is not None and links is not None and stored is not None:
         now = F.lit(int(ctx.now.timestamp() * 1e6))
         events = cut(ledger.unsent(events, sent, links.unionByName(pairs).distinct(), stored.select("id", "url").unionByName(clean.select("id", "url")).distinct(), now))
-    told = cut(summarise(events, model))
+    told = cut(translate(summarise(events, model), model))
     rows = told.select("id", "category", "canonical_title", "summary", "canonical_source_name", "canonical_url", "importance_score").collect()
     subject, plain, page = render(rows, ctx)
     delivered = bool(sink and (rows or ctx.when_empty == "send_empty") and sink(subject, plain, page, list(ctx.recipients)))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -130,6 +131,11 @@ def quota_status(code: Column, left: Column, key: Column, least: int = 1) -> Col
     return F.struct((reason == "ok").alias("available"), reason.alias("reason"))
 
 
+def _store(folder: str):  # noqa: ANN202
+    """(file system, path) of a folder on any store that pyarrow reads; plain paths are local."""
+    return pafs.FileSystem.from_uri(folder if ":" in folder else os.path.abspath(folder))
+
+
 class _Feed(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -140,15 +146,16 @@ class _FeedReader(DataSourceReader):
         self.folder = options["path"]
 
     def partitions(self):  # noqa: ANN201
-        names = sorted(n for n in os.listdir(self.folder) if n.endswith(".json"))
-        return [_Feed(os.path.join(self.folder, n)) for n in names] or [_Feed("")]
+        fs, root = _store(self.folder)
+        names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.path.endswith(".json"))
+        return [_Feed(n) for n in names] or [_Feed("")]
 
     def read(self, partition: _Feed):  # noqa: ANN201
         if not partition.path:
             return
         try:
-            with open(partition.path, encoding="utf-8") as f:
-                rows = json.load(f)
+            with _store(self.folder)[0].open_input_stream(partition.path) as f:
+                rows = json.loads(f.read())
             out = [tuple(None if r.get(k) is None else str(r[k]) for k in ("title", "url", "content", "published_text", "source_name")) for r in rows]
         except Exception as e:  # one broken feed must not stop the others
             yield (None, None, None, None, None, os.path.basename(partition.path), f"{type(e).__name__}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..context import exists
 from ..functions import text, urls
 from ..schemas import ARTICLE
 
@@ -49,11 +49,13 @@ def ledger_writer(folder: str, deliver: Callable[[DataFrame, int], None] = lambd
 
     def write(df: DataFrame, batch: int) -> None:
         spark, out = df.sparkSession, f"{folder}/batch={batch}"
-        if os.path.exists(f"{out}/_SUCCESS"):
+        if exists(spark, f"{out}/_SUCCESS"):
             return
         new = df.dropDuplicates(["url_key"])
-        if any(n.startswith("batch=") for n in (os.listdir(folder) if os.path.isdir(folder) else ())):
-            new = new.join(spark.read.parquet(folder).select("url_key"), "url_key", "left_anti")
+        if exists(spark, folder):
+            # A part that broke off holds what was not recorded, so it does not count: this batch's own.
+            before = spark.read.schema("url_key string, id string, title string, batch bigint").parquet(folder).filter(F.col("batch") != batch)
+            new = new.join(before.select("url_key"), "url_key", "left_anti")
         new = new.persist()
         deliver(new, batch)
         new.select("url_key", "id", "title").write.mode("overwrite").parquet(out)

@@ -87,3 +87,32 @@ def test_topics_and_entities_reach_the_clusters(spark, topics, entities, events)
 
     a = spark.createDataFrame([row(f"i{i}", t, f"https://n.example/{i}", body=f"{BODY} {i}") for i, t in enumerate(titles)], schemas.ARTICLE)
     assert pipeline.run(a, pipeline.RunContext("r1", NOW, RULES), model=Model())["counters"]["events"] == events
+
+
+def test_a_repeated_run_adds_nothing_twice(spark, tmp_path):
+    """A run that broke off after its events is written again in its own place; the run log has one line a run."""
+    folder = str(tmp_path / "store")
+    sinks.create_tables(spark, folder)
+    events = spark.createDataFrame([("e1", "T", NOW, "c", None, "u", "s", 1, "sum", 90, "OFFICIAL", "u"), ("e2", "T", NOW, "c", None, "u", "s", 1, None, 90, "OFFICIAL", "u")], sinks.TABLES["events"])
+    links = spark.createDataFrame([("e1", "a"), ("e2", "b")], "event_id string, article_id string")
+    sinks.put(events.filter("summary is not null"), folder, "events", "r1")
+    assert sinks.record_events(events, links, folder, "r1", "x", NOW) == 1
+    assert sinks.record_events(events, links, folder, "r2", "x", NOW) == 0
+    assert [sinks.stored(spark, folder, t).count() for t in ("events", "event_articles", "sent_news")] == [1, 1, 1]
+    sinks.record_run(spark, folder, "r1", NOW)
+    sinks.record_run(spark, folder, "r1", NOW, NOW, 1, {"sent": 1})
+    sinks.record_run(spark, folder, "r2", NOW, NOW, 0, {}, "boom")
+    assert {(r.run_id, r.status) for r in sinks.stored(spark, folder, "workflow_runs").collect()} == {("r1", "COMPLETED"), ("r2", "FAILED")}
+    sinks.drop_tables(spark, folder)
+    sinks.create_tables(spark, folder)
+    assert sinks.stored(spark, folder, "events").count() == 0
+
+
+def test_embeddings_and_their_cache(spark):
+    from siftwire.operators import vectors
+
+    t = spark.createDataFrame([(1, "bank opens desk"), (2, "desk opens bank"), (3, " "), (4, None)], "node bigint, text string")
+    first = vectors.embed(t, vectors.hashed_words)
+    assert {r.node for r in first.collect()} == {1, 2}
+    again = vectors.embed(t.unionByName(spark.createDataFrame([(5, "new")], t.schema)), lambda texts: [[9.0]] * len(texts), first)
+    assert {r.node: len(r.vector) for r in again.collect()} == {1: 64, 2: 64, 5: 1}
