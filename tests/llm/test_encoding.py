@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 encoding = pytest.importorskip("siftwire.llm.encoding")
@@ -61,3 +63,32 @@ def test_fields(spark):
     got = {(r.article_id, r.field, r.restored[-8:]) for r in encoding.garbled_fields(df).collect()}
     assert got == {("a", "title", "Crédit"), ("b", "content", "xxxxxx’s")}
     assert encoding.garbled_fields(df.limit(0)).count() == 0
+
+
+CYRILLIC, HAN, KANA, HANGUL = "Центральный банк повысил ключевую ставку до двадцати процентов.", "中国人民银行今天宣布下调利率，这是今年以来的第二次。", "日本銀行は今日、政策金利を引き上げると発表しました。", "한국은행은 오늘 기준금리를 인상한다고 발표했다."
+
+
+@pytest.mark.parametrize("text, written, read", [(HAN, "gbk", "latin-1"), (HAN, "gbk", "cp1252"), (KANA, "shift_jis", "latin-1"), (CYRILLIC, "koi8-r", "cp1251"), (CYRILLIC, "koi8-r", "latin-1"), (CYRILLIC, "cp1251", "latin-1"), (CYRILLIC, "utf-8", "gb18030")])
+def test_other_scripts(text, written, read):
+    wrong = text.encode(written).decode(read, "replace")
+    fixed, bad = encoding.repair(wrong)
+    assert bad and fixed.replace(" ", "")[:30] == text.replace(" ", "")[:30]
+    assert re.search(encoding.SUSPECT.replace("\\\\", "\\"), wrong)
+
+
+@pytest.mark.parametrize("text", [CYRILLIC, HAN, KANA, HANGUL, "日本銀行は", "Çok güzel öğretmenler ığdır", "Les élèves français « été à Évian »", "Größe, Füße, Übermaß"])
+def test_clean_text_stays(text):
+    assert encoding.repair(text) == (text, False)
+
+
+@pytest.mark.parametrize("times", [1, 2, 4, 6])
+def test_text_read_wrongly_many_times(times):
+    text = wrong = "Société Générale – l’été à Paris"
+    for _ in range(times):
+        wrong = wrong.encode("utf-8").decode("latin-1")
+    assert encoding.repair(wrong) == (text, True)
+
+
+@pytest.mark.parametrize("wrong", ["ï»¿Board approves", "ï¼¡ï¼¢", "kar≈üƒ± alƒ±m", "l?économie a crû", "¬´Board¬ª"])
+def test_what_is_repaired_is_also_searched(wrong):
+    assert not encoding.repair(wrong)[1] or re.search(encoding.SUSPECT.replace("\\\\", "\\"), wrong)
