@@ -272,7 +272,26 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
     return dedup.components(a.select(F.col("id").alias("node")), edges)
 
 
-@query()
+#: |LCS| of strings x and y in SQL: bit-parallel on 128-bit integers where the shorter one fits, else by rows of the plain table.
+_BITS = """(length(x) - bit_count(list_reduce(list_prepend((1::hugeint << length(x)) - 1, list_transform(string_split(y,''), lambda ch: list_reduce(list_prepend(0::hugeint, list_transform(range(length(x)), lambda i: case when x[i + 1] = ch then 1::hugeint << i::int else 0::hugeint end)), lambda p, q: p | q))),
+ lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::hugeint << length(x)) - 1))))"""
+_ROWS = """(list_reduce(list_prepend(list_transform(range(length(y) + 1), lambda i: 0::bigint), list_transform(string_split(x,''), lambda ch: [unicode(ch)::bigint])), lambda r, ch: list_reduce(list_prepend([0::bigint], list_transform(range(1, length(y) + 1), lambda j: [case when unicode(y[j]) = ch[1] then r[j] + 1 else r[j + 1] end])), lambda acc, e: list_append(acc, greatest(acc[-1], e[1])))))[-1]"""
+#: Letters beyond ASCII as one byte each, some together: the distance of bytes is then no greater than that of characters.
+_BYTES = "regexp_replace(translate({0},'ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىيپچژگکیöüçğışéèêàâîôûäß','ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{{|}}`A'),'[^\\x00-\\x7F]','~','g')"
+_TOPIC = "case " + " ".join(f"when regexp_matches(coalesce(a.title,''),'(?i){'|'.join(v)}') then '{k}'" for k, v in TOPICS.items()) + " else 'OTHER' end"
+
+
+@query(f"""with recursive w0 as ({_TEXT_SQL['q_title_norm']}), ent as (select article_id, list_sort(list_distinct(list_transform(coalesce(arg_min(coalesce(entities,[]), id),[]), lambda e: lower(e)))) as es from {C} group by 1),
+ a as (select a.id, lower(regexp_replace(split_part(split_part(regexp_replace(trim(coalesce(a.url,'')),'^https?://(?:www\\.)?','','i'),'#',1),'?',1),'/+$','')) as u, a.content_hash as h, epoch_us(a.retrieved_at) as t, {_TOPIC} as topic, coalesce(ent.es,[]) as es,
+  array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(w0.title_words,'[^\\p{{L}}\\p{{N}}_]+',' ','g')),' '), lambda z: z <> '')),' ') as s from {A} a join w0 using (id) left join ent on ent.article_id = a.id),
+ b as (select *, {_BYTES.format('s')} as o from a), c as (select levenshtein(p.o, q.o) as lev, p.id as i, q.id as j, p.es as pe, q.es as qe, case when length(p.s) <= length(q.s) then p.s else q.s end as x, case when length(p.s) <= length(q.s) then q.s else p.s end as y from b p join b q on p.id < q.id and (p.t is null or q.t is null or abs(p.t - q.t) <= 129600000000) and (p.topic = q.topic or p.topic = 'OTHER' or q.topic = 'OTHER')
+  where p.s <> '' and q.s <> '' and levenshtein(p.o, q.o) <= 0.325 * (length(p.s) + length(q.s))),
+ d as (select *, length(list_intersect(pe, qe)) as k, least(length(pe), length(qe)) as n from c), f as (select i, j, k, n, case when x = y then 100 else round_even(200.0 * case when length(x) <= 120 then {_BITS} else {_ROWS} end / (length(x) + length(y)), 0) end as ratio from d where x = y or lev <= 0.155 * (length(x) + length(y)) or n > 0 and k >= greatest(1, n // 2)),
+ star as (select id as i, min(id) over (partition by u) as j from a where u <> '' union all select id, min(id) over (partition by h) from a where h is not null and h <> '' union all select id, min(id) over (partition by topic) from a where topic <> 'OTHER'
+  union all select i, j from f where ratio >= 85 or ratio >= 68 and n > 0 and k >= greatest(1, n // 2)),
+ e as (select distinct i, j from star where i <> j union select distinct j, i from star where i <> j),
+ r(n, c) as (select id, id from a union select e.j, r.c from r join e on e.i = r.n and r.c < e.j)
+ select n as node, min(c) as component from r group by 1""")
 def q_event_clusters(spark: SparkSession, d: str) -> DataFrame:
     a = _articles(spark, d)
     c = _classes(spark, d).groupBy("article_id").agg(F.min_by("entities", "id").alias("entities"))
