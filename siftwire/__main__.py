@@ -11,6 +11,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("feeds", help="folder of JSON feeds")
     p.add_argument("out", help="folder of tables and digest")
     p.add_argument("--days", type=int, default=7)
+    p.add_argument("--one-day", action="store_true", help="the last day alone, whatever --days says")
+    p.add_argument("--fallback", default=None, help="folder of feeds that are read where the first has none")
+    p.add_argument("--force-fallback", action="store_true", help="read the fallback at once")
     p.add_argument("--ignore-sent", action="store_true")
     p.add_argument("--run-id", default=None)
     a = p.parse_args(argv)
@@ -28,11 +31,14 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     spark.dataSource.register(feeds.FeedSource)
     now = datetime.now(timezone.utc)
-    ctx = pipeline.RunContext(a.run_id or now.strftime("%Y%m%dT%H%M%S"), now, tuple(RULES), lookback_days=a.days)
+    ctx = pipeline.RunContext(a.run_id or now.strftime("%Y%m%dT%H%M%S"), now, tuple(RULES), lookback_days=1 if a.one_day else a.days)
     sinks.create_tables(spark, a.out)
     sinks.record_run(spark, a.out, ctx.run_id, now)
-    raw = spark.read.format("landed_feed").load(a.feeds)
-    articles = feeds.make_articles(raw.filter("error is null"), F.timestamp_seconds(F.lit(now.timestamp())))
+    read = lambda folder: spark.read.format("landed_feed").load(folder).filter("error is null")
+    if a.force_fallback and not a.fallback:
+        p.error("--force-fallback needs --fallback")
+    raw = read(a.feeds) if not a.fallback else feeds.primary_or_fallback(None if a.force_fallback else read(a.feeds), read(a.fallback))
+    articles = feeds.make_articles(raw, F.timestamp_seconds(F.lit(now.timestamp())))
     # What is stored keeps its id; only what is not is added.
     known = sinks.stored(spark, a.out, "articles")
     new, articles = ledger.insert_absent(known, articles, "url")

@@ -64,6 +64,25 @@ def ledger_writer(folder: str, deliver: Callable[[DataFrame, int], None] = lambd
     return write
 
 
+#: How often a schedule runs, as the interval of a micro-batch trigger.
+INTERVALS = {"hourly": "1 hour", "daily": "1 day", "weekly": "7 days", "biweekly": "14 days", "monthly": "30 days"}
+
+
+def trigger(schedule: str) -> dict[str, str | bool]:
+    """The trigger of a schedule, for ``DataStreamWriter.trigger``: one of INTERVALS, an interval of its own ("90 minutes"), or "once",
+    which takes all there is and stops."""
+    if schedule == "once":
+        return {"availableNow": True}
+    if schedule not in INTERVALS and not schedule.split(" ", 1)[0].isdigit():
+        raise ValueError(f"unknown schedule {schedule!r}")
+    return {"processingTime": INTERVALS.get(schedule, schedule)}
+
+
+def run_always(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], schedule: str = "hourly") -> StreamingQuery:
+    """The same on a schedule, until it is stopped."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger(schedule)).start()
+
+
 def run_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """All that is there, in batches, then stop: the shape of a scheduled run."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

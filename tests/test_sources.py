@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwire.sources import feeds, sinks
@@ -100,3 +101,36 @@ def test_stream_windows(spark, tmp_path):
         q = f(stream.article_stream(spark, str(src))).writeStream.format("memory").queryName(f"out{k}").option("checkpointLocation", str(tmp_path / f"c{k}")).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.table("out2").count() == 2
+
+
+def test_seed_load(spark, tmp_path):
+    from siftwire.sources import tables
+
+    (tmp_path / "seed.json").write_text(json.dumps([{"name": "A", "tier": 1, "active": True}, {"name": "C", "tier": 3, "active": True}, {"name": "D"}]))
+    seed = tables.labelled(spark, str(tmp_path / "seed.json"), "id int, name string, tier int, active boolean")
+    stored = spark.createDataFrame([(1, "A", 2, True), (2, "B", 2, True)], "id int, name string, tier int, active boolean")
+    got = {tuple(r) for r in tables.seeded(stored, seed).select("id", "name", "tier", "active").collect()}
+    assert got == {(1, "A", 1, True), (2, "B", 2, False), (3, "C", 3, True), (4, "D", None, False)}
+    assert tables.seeded(stored.limit(0), seed).count() == 3 and tables.seeded(stored, seed.limit(0)).filter("active").count() == 0
+
+
+def test_triggers():
+    assert stream.trigger("once") == {"availableNow": True} and stream.trigger("daily") == {"processingTime": "1 day"} and stream.trigger("90 minutes") == {"processingTime": "90 minutes"}
+    with pytest.raises(ValueError):
+        stream.trigger("now and then")
+
+
+def test_one_run_from_the_command_line(spark, tmp_path):
+    from siftwire import __main__ as cli
+    from siftwire.sources import sinks as s
+
+    (tmp_path / "none").mkdir()
+    (tmp_path / "feeds").mkdir()
+    item = {"title": "Regulator approves a fund of the bank", "url": "https://n.example/1", "content": "The regulator approved the fund of the bank on Monday, after two years of talks with its owners and their lenders. " * 2, "published_text": None, "source_name": "Wire"}
+    (tmp_path / "feeds" / "a.json").write_text(json.dumps([item]))
+    out = str(tmp_path / "out")
+    for run in ("r1", "r2"):
+        assert cli.main([str(tmp_path / "none"), out, "--fallback", str(tmp_path / "feeds"), "--run-id", run]) == 0
+    assert s.stored(spark, out, "articles").count() == 1  # the second run adds no article again
+    assert {(r.run_id, r.status) for r in s.stored(spark, out, "workflow_runs").collect()} == {("r1", "COMPLETED"), ("r2", "COMPLETED")}
+    assert s.stored(spark, out, "sent_news").count() == 1
