@@ -229,8 +229,11 @@ def candidate_zones(sources: DataFrame) -> list[str]:
 def readings(rows: DataFrame, text: str) -> DataFrame:
     """``parse`` of rows with ``declared`` and ``seen_us``, written once, with ``alt_us``: where no zone is declared, the month-first
     reading of a slashed date, which is day-first in ``local_us``."""
-    slashed = F.coalesce(F.col(text).rlike("^\\s*\\d{1,2}/\\d{1,2}/\\d{4}"), F.lit(False)) & F.col("declared").isNull()
-    plain_ = parse(rows.filter(~slashed), text, "declared", "seen_us").withColumn("alt_us", F.lit(None).cast("bigint"))
+    slashed = F.coalesce(F.col(text).rlike("^\\s*\\d{1,2}/\\d{1,2}/\\d{4}"), F.lit(False)) & F.col("declared").isNull() & F.col("source_id").isNotNull()
+    none = F.lit(None).cast("bigint")
+    if rows.filter(slashed).isEmpty():  # the same result with one reading
+        return cut(parse(rows, text, "declared", "seen_us").withColumn("alt_us", none).drop(text))
+    plain_ = parse(rows.filter(~slashed), text, "declared", "seen_us").withColumn("alt_us", none)
     kept = [*plain_.columns]
     open_ = parse(rows.filter(slashed), text, "declared", "seen_us").withColumn("_month_first", F.lit("America/"))
     first, offset, own = open_.withColumnsRenamed({"local_us": "_day_first", "offset_us": "_first_offset", "own_zone": "_first_zone", "own_us": "_first_own"}), F.col("_first_offset"), F.col("_first_zone")
